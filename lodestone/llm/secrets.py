@@ -1,0 +1,174 @@
+"""Secret scans: known key shapes, and high-entropy strings by a sliding window.
+
+Kinds, in this order:
+
+* ``assign``: a credential name, ``:`` or ``=``, and a value of 8 or more characters;
+* ``access``: ``AKIA`` and capitals or digits, 16 or more characters;
+* ``hex``: 32 or more lower-case hexadecimal digits;
+* ``entropy``: inside runs of 20 or more key characters holding a digit and a letter, the union of the
+  20-character windows whose Shannon entropy reaches the limit of the run's character class (the
+  narrowest of hex digits, capitals and digits, one-case letters and digits, base64). The window's sum
+  of ``c log2 c`` is kept up to date by the counts of the character that leaves and the one that enters.
+  Allow-listed runs (UUIDs, documentation examples, placeholders, words joined by separators,
+  sequences) are suppressed, and so are windows that the first three kinds cover.
+
+Matches are leftmost and non-overlapping per kind; failing matches are consumed and dropped. Positions
+count code points, the end is exclusive. Everything is DataFrame functions; texts without a hit of a
+cheap first test never reach the position arithmetic.
+
+Defined results: a null or empty text has no spans and stays as it is; columns of the input named like
+an output give way; repeated rows are scanned each for itself.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import with_outputs
+
+KINDS = ("assign", "access", "hex", "entropy")
+
+# The shapes of the first three kinds (Java patterns), and the least length of a hit.
+ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]+"
+LONG_HEX = r"[0-9a-f]{32,}"
+LEAST = {"assign": 8, "access": 16, "hex": 32}
+
+WINDOW = 20
+RUN = r"[A-Za-z0-9+/=_-]{20,}"
+# Character classes from narrow to wide, and the entropy (bits) that a window of 20 must reach.
+CLASSES = (("[0-9a-f]+|[0-9A-F]+", 2.9001), ("[A-Z0-9]+|[a-z0-9]+", 3.3001), ("[A-Za-z0-9+/=_-]+", 3.6001))
+# Runs that are no secrets.
+ALLOWED = (
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
+    r".*(EXAMPLE|example|PLACEHOLDER|placeholder|XXXX|xxxx|0123456789|1234567890|abcdefghij|ABCDEFGHIJ).*",
+    r"[+/=_-]*([A-Za-z]+|[0-9]{1,8})([+/=_-]+([A-Za-z]+|[0-9]{1,8}))*[+/=_-]*",  # words, numbers, dates, paths
+    r"[A-Za-z]+[0-9]{1,4}",  # a word with a short number
+)
+
+
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _spans(text: Column, pattern: str, kind: str, keep: Column | None = None) -> Column:
+    """All matches as ``array<struct<start, end, hit>>``: gaps and matches alternate, so their lengths add up to positions."""
+    found, gaps = _matches(text, pattern), F.split(text, pattern, -1)
+    tested = _matches(text, pattern, 2) if kind == "assign" else found
+    rows = F.arrays_zip(found, F.slice(gaps, F.lit(1), F.size(found)), tested)  # fields 0, 1, 2
+    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+
+    def step(s: Column, r: Column) -> Column:
+        at = s.at + F.length(r["1"])
+        end = at + F.length(r["0"])
+        span = F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"), r["0"].alias("hit"))
+        ok = F.length(r["2"]) >= LEAST[kind] if kind in LEAST else F.lit(True)
+        return F.struct(end.alias("at"), F.when(ok, F.concat(s.out, F.array(span))).otherwise(s.out).alias("out"))
+
+    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s.out)
+
+
+def _weight(c: Column) -> Column:
+    """c log2 c, 0 for 0, from a table (counts are at most the window)."""
+    table = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 1)])
+    return F.element_at(table, c + 1)
+
+
+def _high_windows(run: Column, limit: Column) -> Column:
+    """Spans inside ``run`` covered by windows of entropy >= limit, as ``array<struct<start, end>>``."""
+    chars = F.split(run, "", -1)
+    # split by the empty pattern leaves one trailing empty piece
+    chars = F.filter(chars, lambda c: c != "")
+    count = lambda a, ch: F.size(F.filter(a, lambda x: x == ch))
+    first = F.slice(chars, 1, WINDOW)
+    whole = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, ch: s + _weight(count(first, ch)))
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+    high = lambda s: F.lit(math.log2(WINDOW)) - s / WINDOW >= limit
+
+    def mark(out: Column, at: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        here = F.struct(at.cast("int").alias("start"), (at + WINDOW).cast("int").alias("end"))
+        longer = F.struct(last.start.alias("start"), (at + WINDOW).cast("int").alias("end"))
+        touches = F.coalesce(last.end >= at, F.lit(False))
+        return F.when(touches, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(out, F.array(here)))
+
+    def step(s: Column, i: Column) -> Column:
+        """The window that starts after i characters, from the one that starts a character earlier."""
+        gone, come = F.element_at(chars, i), F.element_at(chars, i + WINDOW)
+        shared = F.slice(chars, i + 1, WINDOW - 1)
+        lost, won = count(shared, gone), count(shared, come)
+        total = s.total - (_weight(lost + 1) - _weight(lost)) + (_weight(won + 1) - _weight(won))
+        return F.struct(total.alias("total"), F.when(high(total), mark(s.out, i)).otherwise(s.out).alias("out"))
+
+    start = F.struct(whole.alias("total"), F.when(high(whole), mark(spans, F.lit(0))).otherwise(spans).alias("out"))
+    slides = F.filter(F.sequence(F.lit(0), F.size(chars) - WINDOW), lambda i: i > 0)
+    return F.aggregate(slides, start, step, lambda s: s.out)
+
+
+def _entropy_spans(text: Column, base: Column) -> Column:
+    limit = lambda hit: F.coalesce(*[F.when(hit.rlike(f"^(?:{shape})$"), F.lit(bits)) for shape, bits in CLASSES])
+    fair = lambda r: r.hit.rlike("[0-9]") & r.hit.rlike("[A-Za-z]") & ~F.array_contains(F.array(*[r.hit.rlike(f"^(?:{p})$") for p in ALLOWED]), True)
+    runs = F.filter(_spans(text, RUN, "run"), fair)
+    spans = F.flatten(
+        F.transform(
+            runs,
+            lambda r: F.transform(
+                _high_windows(r.hit, limit(r.hit)), lambda w: F.struct((r.start + w.start).alias("start"), (r.start + w.end).alias("end"))
+            ),
+        )
+    )
+    return F.filter(spans, lambda w: ~F.exists(base, lambda b: (b.start < w.end) & (w.start < b.end)))
+
+
+def find_secrets(df: DataFrame, text: str = "text", entropy: bool = True) -> DataFrame:
+    """Adds ``secrets``: ``array<struct<start, rank, kind, end>>`` by start, then kind."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+
+    def of(kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), s.end.alias("end")))
+
+    base = F.concat(
+        F.when(t.rlike(ASSIGN), of("assign", _spans(t, ASSIGN, "assign"))).otherwise(none),
+        F.when(F.contains(t, F.lit("AKIA")), of("access", _spans(t, ACCESS, "access"))).otherwise(none),
+        F.when(t.rlike(LONG_HEX), of("hex", _spans(t, LONG_HEX, "hex"))).otherwise(none),
+    )
+    out = with_outputs(df, {"_base": base})
+    found = F.col("_base")
+    if entropy:
+        found = F.concat(found, F.when(t.rlike(RUN), of("entropy", _entropy_spans(t, found))).otherwise(none))
+    return with_outputs(out, {"secrets": F.array_sort(found)}, drop=["_base"])
+
+
+def redact(df: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
+    """``text`` with each span (overlapping ones together) replaced by ``mark``; other texts stay as they are."""
+    t = F.col(text)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        return F.when(
+            x.start >= s.at,
+            F.struct(x.end.alias("at"), F.concat(s.out, F.array(F.substr(t, s.at + 1, x.start - s.at), F.lit(mark))).alias("out")),
+        ).otherwise(F.struct(F.greatest(s.at, x.end).alias("at"), s.out.alias("out")))
+
+    clean = F.aggregate(F.col(spans), start, step, lambda s: F.concat(F.array_join(s.out, ""), F.substr(t, s.at + 1)))
+    return df.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(t))
+
+
+def secrets_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Counts and digests of the spans that ``find_secrets`` added."""
+    joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("secrets", lambda s: s.kind != "entropy")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long")
+    return found.select(
+        F.col(key),
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        count("entropy").alias("n_entropy"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
