@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chat, mixing, secrets
+from . import chat, mixing, quality, secrets, simhash
 
 
 def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,11 +13,21 @@ def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.secrets_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances to the language references and the verdict of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 #: The conversation that holds the template's and other templates' control strings in its texts.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -69,7 +79,9 @@ FROM t GROUP BY conv_id
 
 QUERIES = {
     "op1_poisson_mixing": op1_poisson_mixing,
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_quality_rules": op4_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL = {"op1_poisson_mixing": OP1_SQL, "op10_chat_format": OP10_SQL}
