@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+_SHIPPED: dict[str, str] = {}
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "lodestone") -> SparkSession:
@@ -28,9 +31,24 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "lodes
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``; only Spark's reader touches the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once an application."""
+    context = spark.sparkContext
+    if _SHIPPED.get("to") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="lodestone-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(at))
+    _SHIPPED["to"] = context.applicationId
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -54,6 +72,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The table goes when the driver's process ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
