@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chat, mixing, quality, secrets, simhash
+from . import chat, mixing, quality, secrets, simhash, substring
 
 
 def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document when 13-word windows that an earlier document has are removed."""
+    return substring.repeats_digest(substring.repeats(table(spark, sf_dir, "documents")))
+
+
 #: The conversation that holds the template's and other templates' control strings in its texts.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL = {"op1_poisson_mixing": OP1_SQL, "op10_chat_format": OP10_SQL}
