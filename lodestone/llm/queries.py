@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chat, mixing, quality, secrets, simhash, substring
+from . import chat, langid, mixing, quality, secrets, simhash, substring, toxicity
 
 
 def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +28,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def fold(parts: int) -> Column:
+    """The remainder of CRC-32 of the document's id as text."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.toxicity(docs.select("doc_id", "text"), labels, fold(5) != 0)
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document when 13-word windows that an earlier document has are removed."""
     return substring.repeats_digest(substring.repeats(table(spark, sf_dir, "documents")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, fold(4) != 2, reject=False)
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected", "bits")
+
+
 #: The conversation that holds the template's and other templates' control strings in its texts.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -87,7 +106,9 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL = {"op1_poisson_mixing": OP1_SQL, "op10_chat_format": OP10_SQL}
