@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-1. Over all labelled training rows, documents with and without the label are counted per term. Terms
-   whose log-odds lie ``MIN_Z`` standard errors from even (and that ``MIN_DOCS`` documents have) are the
-   vocabulary, at most ``MAX_TERMS`` by that distance.
+1. Over all labelled training rows, documents with and without the label are counted per term (lower-case
+   words, and their beginnings of 4 and 5 bytes). Terms of ``MIN_DOCS`` or more documents whose smoothed
+   log odds ratio, less one standard error, reaches ``MIN_ODDS`` are the vocabulary, at most
+   ``MAX_TERMS`` of the highest.
 2. One pass over all documents takes their counts of these terms; document frequencies are summed over
    all documents.
 3. The labelled examples that have a term of the vocabulary (at most ``MAX_EXAMPLES`` by hash of the
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..session import materialize
 from .common import slices, strings
 
-MIN_Z, MIN_DOCS, MAX_TERMS = 4.0, 5, 4_000
+MIN_ODDS, MIN_DOCS, MAX_TERMS = 3.2, 5, 4_000
 MAX_EXAMPLES = 20_000
 BLOCK, NEIGHBOURS, SHRINK = 64, 15, 0.5
 EDGES = b".,;:!?*#&%$|\"'()[]<>{}-_/\\+=~`@^"
@@ -42,6 +43,11 @@ def terms_of(text: str | None) -> list[bytes]:
     return [w for w in (x.strip(EDGES) for x in text.lower().encode("utf-8", "surrogatepass").split()) if w] if text else []
 
 
+def forms_of(word: bytes) -> tuple[bytes, ...]:
+    """The terms that a word stands for: itself and its beginnings."""
+    return (word, word[:4] + b"*", word[:5] + b"*") if len(word) > 5 else (word, word[:4] + b"*") if len(word) > 4 else (word,)
+
+
 def term_counts(labelled: DataFrame) -> DataFrame:
     """``(term, n1, n0)``: documents with the term, by label. Input ``(_text, _toxic)``."""
 
@@ -60,7 +66,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
 
         for batch in slices(batches, "_text"):
             for t, y in zip(strings(batch, "_text"), strings(batch, "_toxic"), strict=True):
-                held[1 if y else 0].update(set(terms_of(t)))
+                held[1 if y else 0].update({f for w in set(terms_of(t)) for f in forms_of(w)})
             if len(held[0]) + len(held[1]) > 400_000:
                 yield from out()
         yield from out()
@@ -76,9 +82,9 @@ def vocabulary(labelled: DataFrame) -> list[bytes]:
         return []
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    told = term_counts(labelled).where(F.col("n1") + F.col("n0") >= MIN_DOCS).withColumn("z", z).where(F.abs("z") >= MIN_Z)
-    return [bytes(r["term"]) for r in told.orderBy(F.abs("z").desc(), "term").limit(MAX_TERMS).select("term").collect()]
+    low = F.round(odds - F.sqrt(1 / a + 1 / b), 9)
+    told = term_counts(labelled).where(F.col("n1") + F.col("n0") >= MIN_DOCS).withColumn("low", low).where(F.col("low") >= MIN_ODDS)
+    return [bytes(r["term"]) for r in told.orderBy(F.col("low").desc(), "term").limit(MAX_TERMS).select("term").collect()]
 
 
 def term_vectors(docs: DataFrame, vocab: list[bytes], key: str, text: str) -> DataFrame:
@@ -93,12 +99,12 @@ def term_vectors(docs: DataFrame, vocab: list[bytes], key: str, text: str) -> Da
             terms, tf = [], []
             for t in strings(batch, "_text"):
                 words = terms_of(t)
-                some = known & set(words)
+                some = {w: f for w in set(words) if (f := [x for x in forms_of(w) if x in known])}
                 if some:
-                    n = Counter(w for w in words if w in some)
-                    at = sorted(index[w] for w in some)
+                    n = Counter(index[f] for w in words if w in some for f in some[w])
+                    at = sorted(n)
                     terms.append(at)
-                    tf.append([n[vocab[i]] for i in at])
+                    tf.append([n[i] for i in at])
                 else:
                     terms.append([])
                     tf.append([])
