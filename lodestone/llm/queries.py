@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chat, langid, mixing, quality, secrets, simhash, substring, toxicity
+from . import chat, decontam, langid, mixing, quality, secrets, simhash, substring, toxicity
 
 
 def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected", "bits")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other numbers and names, and the item."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The conversation that holds the template's and other templates' control strings in its texts.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -109,6 +114,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL = {"op1_poisson_mixing": OP1_SQL, "op10_chat_format": OP10_SQL}
