@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chat, decontam, langid, mixing, quality, secrets, simhash, substring, toxicity
+from . import chat, decontam, html_crf, langid, mixing, quality, secrets, simhash, substring, toxicity
 
 
 def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_crf.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document when 13-word windows that an earlier document has are removed."""
     return substring.repeats_digest(substring.repeats(table(spark, sf_dir, "documents")))
@@ -112,6 +117,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op6_html_extraction": op6_html_extraction,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
