@@ -41,8 +41,9 @@ N_CLASSES = 10
 
 #: Guards: fewer characters (words) than this, and the histogram has no say.
 MIN_CHARS, MIN_WORDS = 200, 50
-#: Distances above these reject.
-MAX_CHAR_JS, MAX_WORD_JS = 0.45, 0.75
+#: Distances above these reject; a short document's word histogram is noisier, so its limit rises by
+#: ``WORD_NOISE`` over the root of its words.
+MAX_CHAR_JS, MAX_WORD_JS, WORD_NOISE = 0.3, 0.5, 2.0
 
 
 def _class_table() -> np.ndarray:
@@ -181,7 +182,7 @@ def judge(measured: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], m
             dc, dw = js_distance(c, chars), js_distance(w, words)
             thin_c = (c.sum(axis=1) < MIN_CHARS) | (len(chars) == 0)
             thin_w = (n_words < MIN_WORDS) | (len(words) == 0)
-            bad = (~thin_c & (dc > max_char_js)) | (~thin_w & (dw > max_word_js))
+            bad = (~thin_c & (dc > max_char_js)) | (~thin_w & (dw > max_word_js + WORD_NOISE / np.sqrt(np.maximum(n_words, 1))))
             yield pa.RecordBatch.from_arrays(
                 [*[col(n) for n in names], pa.array(dc, mask=thin_c), pa.array(dw, mask=thin_w), pa.array(~failed & ~bad)], names=[f.name for f in schema]
             )
