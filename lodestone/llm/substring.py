@@ -35,7 +35,7 @@ LAST_ID = (1 << 63) - 1
 def levels(window: int) -> list[int]:
     """Lengths from short to ``window``, each at most twice the one before."""
     out = [window]
-    while out[0] >= SHORTEST:
+    while out[0] >= SHORTEST or len(out) == 1:
         out.insert(0, (out[0] + 1) // 2)
     return out
 
@@ -84,6 +84,11 @@ def anchors(h: np.ndarray, short: int, long: int) -> np.ndarray:
     return mix(sliding_min(window_hashes(h, short), long - short + 1))
 
 
+def runs(x: np.ndarray) -> np.ndarray:
+    """The values without immediate repeats: neighbouring windows mostly share their anchor."""
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def inside(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Which values lie in the sorted table."""
     if not len(table) or not len(x):
@@ -104,10 +109,11 @@ def repeated_in_block(values: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray,
     """(distinct values, least rank of each, whether two ranks have it)."""
     if not len(values):
         return values, rank, np.zeros(0, bool)
-    order = np.argsort(values, kind="stable")  # ranks come ascending, so the first of a run is the least
+    order = np.argsort(values)
     v, r = values[order], rank[order]
     start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-    return v[start], r[start], np.maximum.reduceat(r, start) > r[start]
+    least = np.minimum.reduceat(r, start)
+    return v[start], least, np.maximum.reduceat(r, start) > least
 
 
 class Block:
@@ -238,7 +244,7 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
 
     def first(block: pa.Table) -> pa.Table:
         b = Block(block)
-        value, rank = b.gather(lambda h: anchors(h, lengths[0], lengths[1]) if len(lengths) > 1 else window_hashes(h, window))
+        value, rank = b.gather(lambda h: runs(anchors(h, lengths[0], lengths[1])))
         return shipped(block.column("block")[0].as_py(), buckets, repeated_in_block(value, rank)[0], None, None)
 
     def level(k: int):
@@ -249,7 +255,7 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
                 return shipped(0, buckets, np.empty(0, np.uint64), None, None)
             b = Block(block)
             told, _ = _told(answers)
-            below, rank = b.gather(lambda h: anchors(h, lengths[0], lengths[1]) if k == 1 else window_hashes(h, lengths[k - 1]))
+            below, rank = b.gather(lambda h: runs(anchors(h, lengths[0], lengths[1])) if k == 1 else window_hashes(h, lengths[k - 1]))
             value, _, twice = repeated_in_block(below, rank)
             del below, rank
             known = np.sort(np.concatenate([told, value[twice]]))
@@ -327,7 +333,7 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
     def answered(sent: DataFrame) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(answer, ANSWER).repartition(n, "block")
 
-    told = answered(base.groupBy("block").applyInArrow(first, SHIPPED)) if len(lengths) > 1 else spark.createDataFrame([], ANSWER)
+    told = answered(base.groupBy("block").applyInArrow(first, SHIPPED))
     for k in range(1, len(lengths)):
         told = answered(base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(level(k), SHIPPED))
     result = base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
