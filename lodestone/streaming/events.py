@@ -75,16 +75,16 @@ def stall_alerts(events: DataFrame, limit_s: float = 100_000.0) -> DataFrame:
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        ts = sorted(t.timestamp() for f in frames for t in f["ts"])
+        ts = sorted(t.value // 1000 for f in frames for t in f["ts"])  # microseconds
         rows = []
         for t in ts:
-            if last is not None and t - last > limit_s:
-                rows.append((key[0], pd.Timestamp(t, unit="s"), t - last))
+            if last is not None and (t - last) / 1e6 > limit_s:
+                rows.append((key[0], pd.Timestamp(t, unit="us"), (t - last) / 1e6))
             last = t if last is None else max(last, t)
         state.update((last,))
         yield typed(rows, {"user_id": "int64", "ts": "datetime64[us]", "gap": "float64"})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, ts timestamp, gap double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, ts timestamp, gap double", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def queue_states(events: DataFrame) -> DataFrame:
