@@ -1,16 +1,18 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-1. Over all labelled training rows, documents with and without the label are counted per term (lower-case
+1. Over the labelled training rows (at most ``MAX_LABELLED`` of each label by hash of the id: a documented
+   bound of the fit, so the labels are broadcast and no text is shuffled), documents with and without the label are counted per term (lower-case
    words, and their beginnings of 4 and 5 bytes). Terms of ``MIN_DOCS`` or more documents whose smoothed
    log odds ratio, less one standard error, reaches ``MIN_ODDS`` are the vocabulary, at most
    ``MAX_TERMS`` of the highest.
 2. One pass over all documents takes their counts of these terms; document frequencies are summed over
    all documents.
 3. The labelled examples that have a term of the vocabulary (at most ``MAX_EXAMPLES`` by hash of the
-   id: the documented bound of the fit) are indexed: vectors of ``(1 + ln tf) * idf``, length 1, in
+   id, the other bound of the fit) are indexed: vectors of ``(1 + ln tf) * idf``, length 1, in
    blocks of ``BLOCK``; beside the postings each term keeps the greatest weight in each block.
-4. A document's blocks are visited by descending upper bound, until that falls below its k-th best
-   cosine; so the k nearest examples are exact. Ties go to the smaller example number.
+4. A document's blocks of highest upper bound are scored first; their k-th best cosine is the bar, and
+   the blocks whose upper bound reaches it are scored too. The rest can't hold one of the k nearest,
+   which so are exact. Ties go to the smaller example number.
 
 The score is the vote of the neighbours, weighted by cosine and drawn to the base rate of documents
 without evidence by a weight of ``SHRINK``; the neighbours are the evidence.
@@ -33,8 +35,11 @@ from ..session import materialize
 from .common import slices, strings
 
 MIN_ODDS, MIN_DOCS, MAX_TERMS = 3.2, 5, 4_000
-MAX_EXAMPLES = 20_000
-BLOCK, NEIGHBOURS, SHRINK = 64, 15, 0.5
+MAX_LABELLED = 20_000
+MAX_EXAMPLES = 8_000
+#: Vectors whose votes a worker remembers.
+REMEMBER = 20_000
+BLOCK, PROBE, NEIGHBOURS, SHRINK = 64, 4, 15, 0.5
 EDGES = b".,;:!?*#&%$|\"'()[]<>{}-_/\\+=~`@^"
 
 
@@ -139,20 +144,31 @@ class BlockMaxIndex:
         if not len(terms) or not self.blocks:
             return np.empty(0, int), np.empty(0)
         bound = w @ self.tops[terms]
-        got_i, got_s = np.empty(0, int), np.empty(0)
-        visit = np.argsort(-bound, kind="stable")
-        for b in visit:
-            if bound[b] <= 0 or (len(got_s) == k and bound[b] < got_s[-1] - 1e-12):
-                break
-            acc = np.zeros(BLOCK)
-            for t, x in zip(terms, w, strict=True):
-                a, z = self.start[t, b], self.start[t, b + 1]
-                acc[self.rows[a:z] - b * BLOCK] += x * self.w[a:z]
-            hit = np.flatnonzero(acc > 0)
-            i, s = np.concatenate([got_i, hit + b * BLOCK]), np.concatenate([got_s, np.round(acc[hit], 12)])
-            top = np.lexsort((i, -s))[:k]
-            got_i, got_s = i[top], s[top]
-        return got_i, got_s
+        first = np.argsort(-bound, kind="stable")[:PROBE]
+        open_ = np.zeros(self.blocks, dtype=bool)
+        open_[first] = True
+        got = self._score(terms, w, open_)
+        if np.count_nonzero(got > 0) >= k:
+            bar = np.partition(got, -k)[-k]
+            wanted = (bound >= bar - 1e-9) & ~open_
+        else:
+            wanted = (bound > 0) & ~open_
+        if wanted.any():
+            got = got + self._score(terms, w, wanted)
+        hit = np.flatnonzero(got > 0)
+        got = np.round(got[hit], 12)
+        top = np.lexsort((hit, -got))[:k]
+        return hit[top], got[top]
+
+    def _score(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of the examples in the given blocks, 0 elsewhere."""
+        out = np.zeros(len(self.labels))
+        for t, x in zip(terms.tolist(), w.tolist(), strict=True):
+            a, z = self.start[t, 0], self.start[t, self.blocks]
+            rows = self.rows[a:z]
+            mine = blocks[rows // BLOCK]
+            out[rows[mine]] += x * self.w[a:z][mine]
+        return out
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
         return float(((s * self.labels[i]).sum() + SHRINK * self.base) / (s.sum() + SHRINK))
@@ -164,7 +180,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, trained_on, key: str = "doc_id"
     ``trained_on`` is a condition on the key of rows whose labels may be learned from; ``evidence`` lists
     the nearest examples as ``array<struct<id, cosine, label>>``.
     """
-    told = labels.where(trained_on).where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_toxic"))
+    every = labels.where(trained_on).where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_toxic"))
+    sample = [every.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED) for y in (0, 1)]
+    told = F.broadcast(materialize(sample[0].unionByName(sample[1]), "told"))  # at most 2 * MAX_LABELLED ids
     own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     labelled = materialize(own.join(told, own["_key"] == told["_id"]).select("_text", "_toxic"), "labelled")
     vocab = vocabulary(labelled)
@@ -191,18 +209,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, trained_on, key: str = "doc_id"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        id_type = None
+        ix, known = shared.value, {}
         for batch in batches:
             id_type = batch.schema.field(0).type
             scores, seen = [], []
+            if len(known) > REMEMBER:
+                known.clear()
             for terms, tf in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if not terms:
                     scores.append(ix.base)
                     seen.append([])
                     continue
-                t = np.array(terms)
-                i, s = ix.nearest(t, ix.weigh(t, np.array(tf)))
+                same = (*terms, -1, *tf)
+                if same not in known:
+                    t = np.array(terms)
+                    known[same] = ix.nearest(t, ix.weigh(t, np.array(tf)))
+                i, s = known[same]
                 scores.append(ix.vote(i, s))
                 seen.append([{"id": ix.ids[a], "cosine": float(c), "label": int(ix.labels[a])} for a, c in zip(i, s, strict=True)])
             kind = pa.list_(pa.struct([("id", id_type), ("cosine", pa.float64()), ("label", pa.int32())]))
