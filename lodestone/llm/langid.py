@@ -131,9 +131,11 @@ class Model:
             code, n = counts[name]
             order = np.argsort(code)
             per.append(_orders(code[order], n[order].astype(float)))
-        self.keys, self.logp, self.contexts, self.weight = {}, {}, {}, {}
+        self.keys, self.logp, self.contexts, self.weight, self.base = {}, {}, {}, {}, 0.0
         size = len(self.langs)
-        alphabet = np.unique(np.concatenate([p[1][0] for p in per])) if per else np.empty(0, np.uint64)
+        if not size:
+            return
+        alphabet = np.unique(np.concatenate([p[1][0] for p in per]))
         prob: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.empty(0, np.uint64), np.full((1, size), 1.0 / (len(alphabet) + 1)))}
         for k in range(1, ORDER + 1):
             mask = np.uint64((1 << (16 * (k - 1))) - 1)
@@ -161,7 +163,7 @@ class Model:
             order, corder = np.argsort(hashed(g)), np.argsort(hashed(h))
             self.keys[k], self.logp[k] = hashed(g)[order], np.log2(np.maximum(out[order], 1e-12)).astype(np.float32)
             self.contexts[k], self.weight[k] = hashed(h)[corder], np.log2(gamma[corder]).astype(np.float32)
-        self.base = float(np.log2(prob[0][1][0, 0])) if size else 0.0
+        self.base = float(np.log2(prob[0][1][0, 0]))
 
     def score(self, code: np.ndarray) -> np.ndarray:
         """log2 probabilities, a row per gram and a column per language."""
@@ -194,8 +196,7 @@ def _orders(code: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.n
     for k in range(ORDER - 1, 0, -1):
         g, n = np.unique(g & np.uint64((1 << (16 * k)) - 1), return_counts=True)
         out[k] = (g, n.astype(float))
-    out[0] = out[1]
-    return {k: v for k, v in out.items() if k} | {0: out[1]}
+    return out
 
 
 def _find(table: tuple[np.ndarray, np.ndarray], g: np.ndarray, k: int) -> np.ndarray:

@@ -145,7 +145,7 @@ def shipped(block: int, buckets: int, value: np.ndarray, check: np.ndarray | Non
     """Sorted values as one row per bucket."""
     bucket = ((value >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(value) else np.empty(0, np.int64)
-    end = np.append(start[1:], len(value))
+    end = np.append(start[1:], len(value))[: len(start)]
     cut = lambda x, a, b: planes(x[a:b]) if x is not None else b""
     return pa.table(
         {
@@ -190,7 +190,7 @@ def answer(bucket: pa.Table) -> pa.Table:
     hit = order[good]
     hit = hit[np.argsort(whose[hit], kind="stable")]
     at = np.flatnonzero(np.concatenate(([True], whose[hit][1:] != whose[hit][:-1]))) if len(hit) else np.empty(0, np.int64)
-    end = np.append(at[1:], len(hit))
+    end = np.append(at[1:], len(hit))[: len(at)]
     return pa.table(
         {
             "block": pa.array([block[whose[hit[a]]] for a in at], pa.int64()),
