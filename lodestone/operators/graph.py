@@ -23,25 +23,41 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "id", most: int = 60) -> DataFrame:
-    """``(node, component)`` for every node, the component being its least id.
+def star_components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+    """``(node, root)`` for every node with a link to another; ``root`` is the least id of its component.
 
-    Alternating large-star and small-star steps; every step's links are a written table.
+    Alternating large-star and small-star steps: each is one aggregation (the least neighbour of a node) and
+    one join back, so a hot centre is an ordinary skewed sort-merge join, which adaptive execution splits.
+    Every step's links are a written table in the shared folder: a lost executor costs one step at most.
+    Self links and repeated links don't matter; null ends are dropped; no links give no rows.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "cc")
+    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u > v").distinct()
+    now = materialize(pairs, "links")
     before = None
     for _ in range(most):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # large star: every greater neighbour of u is linked to the least of u's neighbourhood
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        # small star: every lesser neighbour of u, and u, is linked to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        now = materialize(small, "cc")
+        now = materialize(small, "links")
+        # a star forest repeats itself: compare by count and an order-free sum of hashes
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
         before = mark
-    return nodes.join(now, nodes[node] == now["u"], "left").select(nodes[node], F.coalesce("v", nodes[node]).alias("component"))
+    else:
+        raise RuntimeError("components did not settle")
+    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
+    """``(node, component)`` for every node, the component being its least id."""
+    roots = star_components(edges)
+    return nodes.join(roots, nodes[node] == roots["node"], "left").select(nodes[node], F.coalesce("root", nodes[node]).alias("component"))
 
 
 def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
