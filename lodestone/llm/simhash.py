@@ -37,9 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.graph import star_components
 from ..session import materialize
 from .common import slices, strings
-from .components import connected_components
 
 RADIUS = 3
 KEY_BITS = [*range(8), *range(32, 40)]
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     prints = materialize(fingerprints(docs, key, text, shingle), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    roots = connected_components(fingerprint_links(nodes))
+    roots = star_components(fingerprint_links(nodes))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     sizes = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_component"))
     classes = named.select("fp", "root").join(sizes, "root").select(F.col("fp").alias("_fp"), "component_id", "n_component")
@@ -240,6 +240,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose key isn't the least of its class; of repeated rows of that key one stays."""
-    leads = classes.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    return docs.dropDuplicates([key]).join(leads.withColumnRenamed(key, "_lead"), docs[key].eqNullSafe(F.col("_lead"))).drop("_lead")
+    """``docs`` without the rows whose key isn't the least of its class; of repeated rows of that key one stays.
+
+    Rows with a null key can't be told apart and stay. The texts are shuffled once: the join and the
+    removal of repeats share their partitioning.
+    """
+    leads = classes.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_lead"))
+    kept = docs.join(leads, docs[key] == F.col("_lead"), "left_semi").dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))

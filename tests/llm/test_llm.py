@@ -13,7 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, components, decontam, html_crf, langid, mixing, quality, queries, secrets, simhash, substring, toxicity
+from lodestone.llm import chat, decontam, html_crf, langid, mixing, quality, queries, secrets, simhash, substring, toxicity
+from lodestone.operators import graph
 from lodestone.session import table
 
 DIR = "/root/testdata/sf0.001"
@@ -173,7 +174,7 @@ def test_simhash_edges(spark, edge):
 
 def test_components_of_a_long_path(spark):
     links = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
-    got = components.connected_components(links).collect()
+    got = graph.star_components(links).collect()
     assert len(got) == 300 and {r["root"] for r in got} == {0}
 
 
