@@ -124,6 +124,31 @@ def edge_dwpc(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.round(F.sum(F.col("w") / (F.sqrt(F.col("degree") * F.col("dv")) + 1e-9)), 6).alias("score"))
 
 
+def path_dwpc(edges: DataFrame, most: int = 3, damping: float = 0.4) -> DataFrame:
+    """Simple paths of up to ``most`` edges between ``a < b``, each worth the product of its nodes' degrees to ``-damping``."""
+    deg = degrees(edges).select(F.col("u").alias("_n"), F.col("degree").cast("double").alias("_d"))
+    step = materialize(both_ways(edges).select("u", F.col("v").alias("next")).join(deg, F.col("next") == F.col("_n")).select("u", "next", F.pow("_d", F.lit(-damping)).alias("_w")), "steps")
+    ends = step.select(F.col("next").alias("a"), F.col("_w").alias("s")).distinct()
+    paths = ends.select("a", F.col("a").alias("b"), F.array("a").alias("seen"), "s")
+    total = None
+    for _ in range(most):
+        on = paths.join(step, paths["b"] == step["u"]).where(~F.array_contains("seen", F.col("next")))
+        paths = on.select("a", F.col("next").alias("b"), F.concat("seen", F.array("next")).alias("seen"), (F.col("s") * F.col("_w")).alias("s"))
+        part = paths.where("a < b").select("a", "b", "s")
+        total = part if total is None else total.union(part)
+    return total.groupBy("a", "b").agg(F.round(F.sum("s"), 6).alias("dwpc"))
+
+
+def prerequisites(deps: DataFrame, most: int) -> DataFrame:
+    """Transitive dependencies of a table ``(id, dep)``: ``(id, dep, depth)`` up to ``most`` steps."""
+    front = deps.select("id", "dep", F.lit(1).alias("depth"))
+    out = front
+    for k in range(2, most + 1):
+        front = front.select("id", F.col("dep").alias("_at")).join(deps.select(F.col("id").alias("_at"), "dep"), "_at").select("id", "dep", F.lit(k).alias("depth"))
+        out = out.union(front)
+    return out
+
+
 def hops(starts: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
     """Breadth-first expansion: ``(start, node, depth)`` with the least depth up to ``most``."""
     both = both_ways(edges).select("u", "v").distinct()
