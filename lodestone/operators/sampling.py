@@ -32,6 +32,31 @@ def largest_remainder_quotas(sizes: DataFrame, size: str, total: int, key: str)
     return base.withColumn("quota", F.col("quota") + F.when(place <= left, 1).otherwise(0)).drop("_rest")
 
 
+def cdf_quotas(scores: DataFrame, z: str, key: str, total: int) -> DataFrame:
+    """Quotas from the differences of the normal CDF of sorted z values: rounded, 1 at least, trimmed from the largest.
+
+    A row per stratum; the window is as small as their number.
+    """
+    from ..functions.scoring import normal_cdf
+
+    w = Window.orderBy(z, key)
+    step = normal_cdf(F.col(z)) - F.coalesce(F.lag(normal_cdf(F.col(z))).over(w), F.lit(0.0))
+    share = scores.withColumn("_s", step).withColumn("_s", F.col("_s") / F.sum("_s").over(Window.partitionBy()))
+    q = share.withColumn("quota", F.greatest(F.round(F.col("_s") * total), F.lit(1)).cast("long"))
+    over = F.sum("quota").over(Window.partitionBy()) - total
+    place = F.row_number().over(Window.orderBy(F.desc("quota"), key))
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    # the excess is taken one by one from the largest, in turns
+    cut = F.when(over > 0, F.floor(over / n) + F.when(place <= over % n, 1).otherwise(0)).otherwise(0)
+    return q.withColumn("quota", F.greatest(F.col("quota") - cut, F.lit(1)).cast("long")).drop("_s")
+
+
+def reject_resample(df: DataFrame, rates: DataFrame, by: str, key: str, seed: int = 42) -> DataFrame:
+    """Each row stays with its class's probability, relative to the greatest one."""
+    top = rates.agg(F.max("p").alias("_top"))
+    return df.join(rates.select(by, "p"), by).crossJoin(F.broadcast(top)).where(uniform(key, seed) < F.col("p") / F.col("_top")).drop("p", "_top")  # one row
+
+
 def stratified(df: DataFrame, quotas: DataFrame, stratum: str, key: str, seed: int = 42) -> DataFrame:
     """Each stratum's quota of rows, by hash order."""
     w = Window.partitionBy(stratum).orderBy(uniform(key, seed), key)

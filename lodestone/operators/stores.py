@@ -73,6 +73,75 @@ def set_status(tasks: DataFrame, changes: DataFrame) -> DataFrame:
     return j.withColumn("status", F.coalesce("_s", "status")).withColumn("updated_at", F.coalesce("_at", "updated_at")).select(*tasks.columns)
 
 
+def create_tasks(tasks: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New tasks ``(id, title, description, parent_id, at)`` as pending; a parent gives a ``parent_of`` edge, once."""
+    rows = new.select("id", "title", "description", F.lit("pending").alias("status"), F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
+    links = new.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("from_id"), F.lit("parent_of").alias("edge_type"), F.col("id").alias("to_id"))
+    return insert_ignore(tasks, rows, ["id"]), insert_ignore(edges, links, ["from_id", "edge_type", "to_id"])
+
+
+def assign_tasks(tasks: DataFrame, edges: DataFrame, assigned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assignments ``(id, who, at)``: the latest of a task wins; its old ``assigned_to`` edges go."""
+    last = latest(assigned, ["id"], [F.desc("at"), F.col("who")])
+    done = partial_update(tasks, last.select("id", F.col("who").alias("assigned_to"), F.col("at").alias("updated_at")), "id")
+    old = last.select(F.col("id").alias("from_id"), F.lit("assigned_to").alias("edge_type"))
+    links = last.select(F.col("id").alias("from_id"), F.lit("assigned_to").alias("edge_type"), F.col("who").alias("to_id"))
+    return done, edges.join(old, ["from_id", "edge_type"], "left_anti").unionByName(links)
+
+
+def write_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """Results ``(id, result, at)`` written to their tasks."""
+    return partial_update(tasks, results.select("id", "result", F.col("at").alias("updated_at")), "id")
+
+
+def tasks_with_edges(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each task with its outgoing edges as an array of ``type:target``."""
+    out = edges.groupBy(F.col("from_id").alias("_id")).agg(F.array_sort(F.collect_list(F.concat_ws(":", "edge_type", "to_id"))).alias("edges"))
+    return tasks.join(out, tasks["id"] == out["_id"], "left").drop("_id").withColumn("edges", F.coalesce("edges", F.array().cast("array<string>")))
+
+
+def blocked(tasks: DataFrame) -> DataFrame:
+    return tasks.where("status = 'blocked'").orderBy(F.desc("updated_at"), "id")
+
+
+def cancel(queue: DataFrame) -> DataFrame:
+    """Pending and running work is marked cancelled; what runs may still finish and then overwrite the mark."""
+    return queue.withColumn("status", F.when(F.col("status").isin("pending", "running"), "cancelled").otherwise(F.col("status")))
+
+
+def submit(queue: DataFrame, rows: DataFrame) -> DataFrame:
+    """Idempotent by name and content hash."""
+    return insert_ignore(queue, rows, ["skill_name", "content_hash"])
+
+
+def list_todos(todos: DataFrame, project: str | None = None, with_done: bool = False) -> DataFrame:
+    """Open todos (of a project), high before normal before the rest, then by id."""
+    rows = todos if with_done else todos.where("done = 0")
+    rows = rows if project is None else rows.where(F.col("project") == project)
+    return rows.orderBy(F.when(F.col("priority") == "high", 0).when(F.col("priority") == "normal", 1).otherwise(2), "id")
+
+
+def change_rows(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """Partial update that refuses keys the table doesn't have."""
+    missing = changes.join(table, key, "left_anti").count()
+    if missing:
+        raise KeyError(f"{missing} unknown keys")
+    return partial_update(table, changes, key)
+
+
+def delete_rows(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """Rows without those keys; unknown keys are refused."""
+    if keys.join(table, key, "left_anti").count():
+        raise KeyError("unknown keys")
+    return table.join(keys.select(key), key, "left_anti")
+
+
+def pending_derivations(documents: DataFrame, cache: DataFrame, key: str = "name") -> DataFrame:
+    """Documents whose hash the cache lacks, or has without a vector: what an incremental run recomputes."""
+    good = cache.where(F.size("embedding") > 0).select(key, "content_hash")
+    return documents.join(good, [key, "content_hash"], "left_anti")
+
+
 def children(tasks: DataFrame, edges: DataFrame, parent: str) -> DataFrame:
     return tasks.join(edges.where((F.col("edge_type") == "parent_of") & (F.col("from_id") == parent)), tasks["id"] == edges["to_id"]).select(tasks["*"])
 

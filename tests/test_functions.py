@@ -164,3 +164,77 @@ def test_diagnostics_and_logs(spark):
     assert files.event_log(lines, "a int").where("a IS NOT NULL").count() == 1
     py = spark.createDataFrame([("m.py", "import os\nclass A:\n    def f(self): pass\n"), ("bad.py", "def (")], "path string, content string")
     assert {(r["kind"], r["name"]) for r in files.python_symbols(py).collect()} == {("import", "os"), ("class", "A"), ("function", "f")}
+
+
+def test_task_operations(spark):
+    tasks = spark.createDataFrame([("a", "A", "", "pending", None, None, 1.0, 1.0)], "id string, title string, description string, status string, assigned_to string, result string, created_at double, updated_at double")
+    edges = spark.createDataFrame([], "from_id string, edge_type string, to_id string")
+    new = spark.createDataFrame([("b", "B", "", "a", 2.0), ("a", "again", "", None, 2.0)], "id string, title string, description string, parent_id string, at double")
+    tasks, edges = stores.create_tasks(tasks, edges, new)
+    assert sorted((r["id"], r["title"]) for r in tasks.collect()) == [("a", "A"), ("b", "B")]
+    assert [r["id"] for r in stores.children(tasks, edges, "a").collect()] == ["b"]
+    tasks, edges = stores.assign_tasks(tasks, edges, spark.createDataFrame([("b", "x", 3.0), ("b", "y", 4.0)], "id string, who string, at double"))
+    tasks = stores.write_results(tasks, spark.createDataFrame([("b", "fine", 5.0)], "id string, result string, at double"))
+    got = {r["id"]: r for r in stores.tasks_with_edges(tasks, edges).collect()}
+    assert (got["b"]["assigned_to"], got["b"]["result"], got["b"]["updated_at"], got["b"]["edges"]) == ("y", "fine", 5.0, ["assigned_to:y"]) and got["a"]["edges"] == ["parent_of:b"]
+    assert {r["status"] for r in stores.cancel(tasks).collect()} == {"cancelled"}
+
+
+def test_todo_operations(spark):
+    t = spark.createDataFrame([(1, "x", "low", "p", 0), (2, "y", "high", "p", 0), (3, "z", "normal", "q", 1)], "id long, task string, priority string, project string, done int")
+    assert [r["id"] for r in stores.list_todos(t, "p").collect()] == [2, 1]
+    done = stores.change_rows(t, spark.createDataFrame([(1, 1)], "id long, done int"))
+    assert {r["id"]: r["done"] for r in done.collect()}[1] == 1
+    with pytest.raises(KeyError):
+        stores.delete_rows(t, spark.createDataFrame([(9,)], "id long"))
+
+
+def test_incremental_runs(spark):
+    docs = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "name string, content_hash string")
+    cache = spark.createDataFrame([("a", "1", [1.0]), ("b", "9", [1.0]), ("c", "3", [])], "name string, content_hash string, embedding array<double>")
+    assert sorted(r["name"] for r in stores.pending_derivations(docs, cache).collect()) == ["b", "c"]
+
+
+def test_providers(spark):
+    from lodestone.sources import providers
+
+    d = spark.createDataFrame([(1, "ab"), (2, "boom"), (3, None)], "id long, text string")
+
+    def lengths(texts):
+        if "boom" in texts:
+            raise RuntimeError
+        return [float(len(t)) for t in texts]
+
+    got = {r["id"]: r["n"] for r in providers.with_provided(d.coalesce(1), "text", "n", "double", lengths, batch=1).collect()}
+    assert got == {1: 2.0, 2: None, 3: 0.0}
+    v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [])], "id long, v array<double>")
+    assert [r["v"] for r in providers.unit_vectors(v, "v").collect()] == [[0.6, 0.8]]
+
+
+def test_quotas(spark):
+    z = spark.createDataFrame([(i, float(x)) for i, x in enumerate([-1.5, -0.2, 0.1, 0.4, 2.0])], "id long, z double")
+    q = {r["id"]: r["quota"] for r in sampling.cdf_quotas(z, "z", "id", 40).collect()}
+    assert sum(q.values()) == 40 and min(q.values()) >= 1
+    r = sampling.reject_resample(spark.range(4000).withColumn("c", F.col("id") % 2), spark.createDataFrame([(0, 0.8), (1, 0.2)], "c long, p double"), "c", "id")
+    n = {x["c"]: x["count"] for x in r.groupBy("c").count().collect()}
+    assert n[0] == 2000 and abs(n[1] - 500) < 80
+
+
+def test_file_selection(spark):
+    from lodestone.operators import selection
+
+    rows = spark.createDataFrame([(p,) for p in ("src/a.py", "src/x/b.py", "dist/a.py", "docs/keep.md", "docs/b.md")], "path string")
+    got = {r["path"]: r["s"] for r in rows.select("path", selection.select_files(F.col("path"), ["src/**"], ["docs/*.md"], ["dist/"], ["docs/keep.md"]).alias("s")).collect()}
+    assert got == {"src/a.py": True, "src/x/b.py": True, "dist/a.py": False, "docs/keep.md": True, "docs/b.md": False}
+
+
+def test_greedy_selection(spark):
+    from lodestone.operators import latent, selection
+
+    c = spark.createDataFrame([(1, 1, 0.9, [1.0, 0.0]), (1, 2, 0.89, [1.0, 0.01]), (1, 3, 0.5, [0.0, 1.0])], "query_id long, doc_id long, score double, vec array<double>")
+    assert [r["doc_id"] for r in selection.mmr(c, 2, 0.5).orderBy("place").collect()] == [1, 3]
+    assert selection.rouge_l("a b c d", "a c d") == pytest.approx(6 / 7)
+    import numpy as np
+
+    x = np.random.default_rng(0).normal(size=(60, 3))
+    assert latent.canonical_correlations(x, x @ np.array([[2.0, 1, 0], [0, 1, 0], [0, 0, 3]])) == pytest.approx([1, 1, 1])
