@@ -36,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once an application."""
+    """Puts this package on the path of the Python workers of a single-machine session, once an application.
+
+    On a cluster the executors have it installed, or get it by ``--py-files``.
+    """
     context = spark.sparkContext
-    if _SHIPPED.get("to") == context.applicationId:
+    if not context.master.startswith("local[") or _SHIPPED.get("to") == context.applicationId:
         return
     root = Path(__file__).resolve().parent
     at = Path(tempfile.mkdtemp(prefix="lodestone-ship-")) / f"{root.name}.zip"
@@ -49,6 +52,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED["to"] = context.applicationId
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of what ``df`` reads, as its plan's statistics have it; None where they don't know. Nothing runs."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else None
+
+
+def partitions_for(df: DataFrame, target: int = 64 << 20) -> int:
+    """Shuffle partitions for data of the size of ``df``: the session's number, or more to keep them near ``target`` bytes."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, -(-(input_bytes(df) or 0) // target))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
