@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, partitions_for
 from .common import with_outputs
 
 #: One Poisson draw covers a mean of at most this; a larger mean is the sum of several draws.
@@ -82,7 +82,7 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 42, source: str = "
         drop=["_mix_source", "_mix_draws", "_mix_steps", "_mix_n", "_mix_copy"],
     )
     # The key is uniform by construction: its range is cut evenly, without a sampling pass.
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(docs)
     by = F.floor(F.col("mix_key") * F.lit(float(n)) / F.lit(float(GRAIN))).cast("int")
     return out.repartitionById(n, by).sortWithinPartitions("mix_key", key, "copy_no")
 

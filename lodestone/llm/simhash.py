@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import star_components
-from ..session import materialize
+from ..session import materialize, partitions_for
 from .common import slices, strings
 
 RADIUS = 3
@@ -219,7 +219,7 @@ def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
     """Links ``(a, b)`` that connect all fingerprints (column ``fp``, distinct) within the radius."""
-    n = partitions or int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(distinct, 4 << 20)  # a fingerprint becomes some 45 rows
     met = distinct.select("fp").mapInArrow(spread, "key bigint, fp bigint").repartition(n, "key").sortWithinPartitions("key")
     return met.mapInArrow(meeting, "a bigint, b bigint")
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import input_bytes, partitions_for
+
 #: Text that a block aims at, in bytes of the table's files.
 BLOCK_BYTES = 4 << 20
 SHORTEST = 8
@@ -233,11 +235,10 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
 
     ``removed`` lists the removed word ranges as ``array<struct<start, end>>``.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(docs)
     src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    blocks = src.rdd.getNumPartitions() * max(1, -(-split // BLOCK_BYTES))
+    size = input_bytes(docs)
+    blocks = max(1, -(-size // BLOCK_BYTES)) if size is not None else 4 * src.rdd.getNumPartitions()
     buckets = max(32, blocks // 8)
     lengths = levels(window)
     base = src.withColumn("block", F.pmod(F.xxhash64("_key"), F.lit(blocks))).repartition(n, "block")
