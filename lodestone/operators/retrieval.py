@@ -22,7 +22,7 @@ def tokens(df: DataFrame, key: str, text: str, name: str = "doc_id") -> DataFram
 def top_k(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best per query; ties by the smaller document id."""
     w = Window.partitionBy(query).orderBy(F.desc(score), doc)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def corpus_statistics(docs: DataFrame) -> DataFrame:

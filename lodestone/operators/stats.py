@@ -41,7 +41,7 @@ def median_sides(df: DataFrame, value: str, key: str, chunks: int = 4) -> DataFr
 
 def ranked_chunks(df: DataFrame, by: list[str], value: str, key: str, chunks: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(value, key)
-    return df.withColumn("chunk", F.ntile(chunks).over(w))
+    return df.withColumn("chunk", F.ntile(chunks).over(w).cast("long"))
 
 
 def percentile_threshold(df: DataFrame, score: str, q: float = 0.85, low: float = 0.5, high: float = 0.99) -> DataFrame:

@@ -120,7 +120,7 @@ def first_after_threshold(spark, sf):
 def top_neighbours(spark, sf):
     """Top 3 per key, ties by the greater id."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), F.desc("o_orderkey"))
-    return table(spark, sf, "orders").withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("o_custkey", "o_orderkey", "rank")
+    return table(spark, sf, "orders").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("o_custkey", "o_orderkey", "rank")
 
 
 @query("regressions", "SELECT l_orderkey AS case_id FROM lineitem GROUP BY 1 HAVING bool_or(l_linestatus = 'O' AND l_returnflag = 'N') INTERSECT SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING NOT bool_and(l_discount > 0.02)")

@@ -163,7 +163,7 @@ def item_jaccard(spark, sf):
 @query(
     "fused_similarity",
     f"""WITH {DENSE} SELECT a, b, sparse, score AS dense, round(0.7 * sparse + 0.3 * score, 8) AS fused, CASE WHEN 0.7 * sparse + 0.3 * score >= 0.8 THEN 'MERGE' WHEN 0.7 * sparse + 0.3 * score >= 0.5 THEN 'migrate' WHEN 0.7 * sparse + 0.3 * score >= 0.3 THEN 'xref' ELSE 'low' END AS action
-FROM (SELECT p.a, p.b, p.score, CAST(x.label = y.label AS INTEGER) * 1.0 AS sparse FROM p JOIN embeddings x ON p.a = x.vec_id JOIN embeddings y ON p.b = y.vec_id) WHERE round(0.7 * sparse + 0.3 * score, 8) >= 0.5""",
+FROM (SELECT p.a, p.b, p.score, CAST(CAST(x.label = y.label AS INTEGER) AS DOUBLE) AS sparse FROM p JOIN embeddings x ON p.a = x.vec_id JOIN embeddings y ON p.b = y.vec_id) WHERE round(0.7 * sparse + 0.3 * score, 8) >= 0.5""",
 )
 def fused_similarity(spark, sf):
     """Sparse (label set) and dense (cosine) scores fused 0.7 / 0.3, with the prescribed action."""

@@ -209,14 +209,14 @@ def normal_cdf(spark, sf):
     return c.crossJoin(F.broadcast(m)).select("c_custkey", F.round(sc.normal_cdf((F.col("c_acctbal") - F.col("m")) / F.col("s")), 5).alias("p"))  # one row
 
 
-@query("floored_scores", "SELECT l.doc_id, CASE WHEN toxic = 0 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 30 THEN 0.15 ELSE toxic * 1.0 END AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+@query("floored_scores", "SELECT l.doc_id, CASE WHEN toxic = 0 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 30 THEN CAST(0.15 AS DOUBLE) ELSE CAST(toxic AS DOUBLE) END AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
 def floored_scores(spark, sf):
     j = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
     n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     return j.select("doc_id", sc.floored_score(F.col("toxic").cast("double"), n).alias("score"))
 
 
-@query("evidence_confidence", "SELECT o_orderkey, CASE WHEN date_diff('day', o_orderdate, TIMESTAMP '1998-08-02') / 30.4375 < 3 OR o_totalprice < 1000 THEN 0.70 ELSE 0.85 END AS confidence FROM orders")
+@query("evidence_confidence", "SELECT o_orderkey, CASE WHEN date_diff('day', o_orderdate, TIMESTAMP '1998-08-02') / 30.4375 < 3 OR o_totalprice < 1000 THEN CAST(0.70 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END AS confidence FROM orders")
 def evidence_confidence(spark, sf):
     o = table(spark, sf, "orders")
     age = F.date_diff(F.to_date(F.lit("1998-08-02")), F.to_date("o_orderdate")) / 30.4375

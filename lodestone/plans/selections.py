@@ -113,7 +113,7 @@ def community_rerank(spark, sf):
     t = materialize(sim.dense_neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding", 50).join(v, "doc_id"), "candidates")
     m = t.groupBy("query_id", "label").agg(F.round(F.sum("score"), 6).alias("mass"))
     w = Window.partitionBy("query_id").orderBy(F.desc("mass"), F.desc("score"), "doc_id")
-    return t.join(m, ["query_id", "label"]).withColumn("place", F.row_number().over(w)).where("place <= 10").select("query_id", "doc_id", "mass", "place")
+    return t.join(m, ["query_id", "label"]).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("query_id", "doc_id", "mass", "place")
 
 
 @query(
@@ -172,7 +172,7 @@ def frequent_sequences(spark, sf):
 @query("patience", "WITH x AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, coalesce(min(CASE WHEN NOT bad THEN k END), max(k) + 1) - 1 AS n FROM x GROUP BY 1")
 def patience(spark, sf):
     """Rejections in a row at the end of each series."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).cast("long")
     x = table(spark, sf, "events").select("user_id", (F.col("event_type") == "error").alias("bad"), k.alias("k"))
     return x.groupBy("user_id").agg((F.coalesce(F.min(F.when(~F.col("bad"), F.col("k"))), F.max("k") + 1) - 1).alias("n"))
 
