@@ -119,14 +119,8 @@ def rolling_limits(spark, sf):
 def percent_rank_weights(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts")
     n = e.agg(F.count(F.lit(1)).alias("n"))
-    # A total order over all rows: ranges are sorted in parallel, and each adds the rows of the ranges before it.
-    ranged = e.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("_p", F.spark_partition_id())
-    from ..session import materialize
-
-    kept = materialize(ranged, "ranged")
-    before = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).withColumn("_before", F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("ts", "event_id")) + F.col("_before")
-    return kept.join(F.broadcast(before), "_p").withColumn("_k", place).crossJoin(F.broadcast(n)).select("event_id", F.round((F.col("_k") - 1) / (F.col("n") - 1), 6).alias("w"))  # a row per partition; one row
+    numbered = stats.global_row_number(e, ["ts", "event_id"], "k")
+    return numbered.crossJoin(F.broadcast(n)).select("event_id", F.round((F.col("k") - 1) / (F.col("n") - 1), 6).alias("w"))  # one row
 
 
 @query("rolling_splits", "SELECT user_id, s.start, s.start + 20 AS test_from, s.start + 25 AS test_to FROM (SELECT user_id, unnest(range(0, n - 25 + 1, 5)) AS start FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) WHERE n >= 25) s")

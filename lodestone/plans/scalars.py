@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring as sc, text as tx
+from ..operators import stats
 from ..session import table
 from .registry import query
 
@@ -67,10 +68,8 @@ def content_words(spark, sf):
 @query("vocabulary_ids", "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM benchmark) SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM t")
 def vocabulary_ids(spark, sf):
     """Closed vocabulary of the benchmark: ids by sorted place from 0."""
-    from pyspark.sql import Window
-
     t = table(spark, sf, "benchmark").select(F.explode(tx.letter_runs(F.col("text"))).alias("term")).distinct()
-    return t.withColumn("id", (F.row_number().over(Window.orderBy("term")) - 1).cast("long"))
+    return stats.global_row_number(t, ["term"], "id").select("term", (F.col("id") - 1).cast("long").alias("id"))
 
 
 @query(
