@@ -28,12 +28,17 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import input_bytes, partitions_for
 
-#: Text that a block aims at, in bytes of the table's files.
-BLOCK_BYTES = 4 << 20
+#: A block aims at this much of the table's files; from ``MANY_BLOCKS`` blocks on at more, up to ``LARGE_BLOCK``.
+#: Many small blocks fill the shuffle partitions evenly, few large ones keep a hot passage's entries few.
+BLOCK_BYTES, LARGE_BLOCK, MANY_BLOCKS = 1 << 20, 32 << 20, 1 << 16
 SHORTEST = 8
 LAST_ID = (1 << 63) - 1
 
 
+def block_count(size: int) -> int:
+    return max(1, min(-(-size // BLOCK_BYTES), max(MANY_BLOCKS, -(-size // LARGE_BLOCK))))
+
+
 def levels(window: int) -> list[int]:
     """Lengths from short to ``window``, each at most twice the one before."""
     out = [window]
@@ -238,7 +243,7 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
     n = partitions or partitions_for(docs)
     src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     size = input_bytes(docs)
-    blocks = max(1, -(-size // BLOCK_BYTES)) if size is not None else 4 * src.rdd.getNumPartitions()
+    blocks = block_count(size) if size is not None else 8 * src.rdd.getNumPartitions()
     buckets = max(32, blocks // 8)
     lengths = levels(window)
     base = src.withColumn("block", F.pmod(F.xxhash64("_key"), F.lit(blocks))).repartition(n, "block")
