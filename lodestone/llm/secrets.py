@@ -77,11 +77,18 @@ def _weight(c: Column) -> Column:
     return F.element_at(table, c + 1)
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda an expression would run at every step."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _high_windows(run: Column, limit: Column) -> Column:
     """Spans inside ``run`` covered by windows of entropy >= limit, as ``array<struct<start, end>>``."""
-    chars = F.split(run, "", -1)
-    # split by the empty pattern leaves one trailing empty piece
-    chars = F.filter(chars, lambda c: c != "")
+    chars = F.filter(F.split(run, "", -1), lambda c: c != "")  # the last piece is empty
+    return _once(F.struct(chars.alias("chars"), limit.alias("limit")), lambda x: _slide(x.chars, x.limit))
+
+
+def _slide(chars: Column, limit: Column) -> Column:
     count = lambda a, ch: F.size(F.filter(a, lambda x: x == ch))
     first = F.slice(chars, 1, WINDOW)
     whole = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, ch: s + _weight(count(first, ch)))
@@ -120,7 +127,7 @@ def _entropy_spans(text: Column, base: Column) -> Column:
             ),
         )
     )
-    return F.filter(spans, lambda w: ~F.exists(base, lambda b: (b.start < w.end) & (w.start < b.end)))
+    return _once(base, lambda b: F.filter(spans, lambda w: ~F.exists(b, lambda x: (x.start < w.end) & (w.start < x.end))))
 
 
 def find_secrets(df: DataFrame, text: str = "text", entropy: bool = True) -> DataFrame:
