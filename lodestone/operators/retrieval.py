@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring, text as tx
+from ..session import materialize
 
 
 def tokens(df: DataFrame, key: str, text: str, name: str = "doc_id") -> DataFrame:
@@ -82,7 +83,7 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
 
 def expanded_bm25(docs: DataFrame, expansions: DataFrame) -> DataFrame:
     """Sum of the BM25 scores of all expansions of a query (``query_id, tokens`` rows), positive ones only."""
-    lone = expansions.withColumn("_q", F.monotonically_increasing_id())
+    lone = materialize(expansions.withColumn("_q", F.monotonically_increasing_id()), "expansions")  # written once: the ids stay
     scored = bm25(docs, lone.select(F.col("_q").alias("query_id"), "tokens"))
     return scored.withColumnRenamed("query_id", "_q").join(lone.select("_q", "query_id"), "_q").groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")).where("score > 0")
 
