@@ -156,18 +156,24 @@ def settle(label: np.ndarray, group: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def link(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, least fingerprint of its component here) among rows of whole keys."""
+    """Links among rows of whole keys that connect all that meet: (fingerprint, lesser fingerprint).
+
+    Each pass links a row's label before it to the label after it, so what passes join adds up.
+    """
     cost = int((parity(fp) == 0).sum()) * (len(NEAR) + len(FAR))
     passes = -(-cost // (4 * UNFOLD)) if len(fp) > 1 and (key == key[0]).all() else 1
     label = fp.view(np.int64).copy()
-    for p in range(passes):
-        parts = [unfold(key[at : at + 4096], fp[at : at + 4096]) + (at,) for at in range(0, len(fp), 4096)] if passes == 1 else _sub_range(key, fp, p, passes)
+    a, b = [], []
+    for p in range(max(1, passes)):
+        parts = [unfold(key[at : at + 4096], fp[at : at + 4096]) + (at,) for at in range(0, len(fp), 4096)] if passes <= 1 else _sub_range(key, fp, p, passes)
         variant = np.concatenate([x[0] for x in parts])
         row = np.concatenate([x[1] + x[3] for x in parts])
         near = np.concatenate([x[2] for x in parts])
-        label = settle(label, *meet(variant, row, near))
-    linked = label != fp.view(np.int64)
-    return fp.view(np.int64)[linked], label[linked]
+        before, label = label, settle(label, *meet(variant, row, near))
+        moved = label != before
+        a.append(before[moved])
+        b.append(label[moved])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _sub_range(key: np.ndarray, fp: np.ndarray, p: int, passes: int) -> list:

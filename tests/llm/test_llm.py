@@ -139,6 +139,28 @@ def test_simhash_sub_ranges(monkeypatch):
     check_balls(sorted(fps))
 
 
+def test_simhash_passes_add_up(monkeypatch):
+    """A link that one pass finds stays when a later pass lowers a label; a key of odd fingerprints only is searched too."""
+    rng = random.Random(8)
+    low, high = ([b for b in simhash.FREE_BITS if b // 32 == h] for h in (0, 1))
+    chain = [rng.getrandbits(64)]
+    while len(chain) < 300:
+        a, b = rng.sample([low, high], 2)
+        chain.append(chain[-1] ^ sum(1 << x for x in [*rng.sample(a, 2), *rng.sample(b, 1)]))
+    odd = (chain[0] | 15) ^ (bin(chain[0] | 15).count("1") % 2 == 0)
+    pair = [odd, odd ^ 3 << 20]
+    for fps, unfold in ((chain, 4000), (chain[::-1], 4000), (pair, 2_000_000)):
+        monkeypatch.setattr(simhash, "UNFOLD", unfold)
+        arr = np.array(fps, dtype=np.uint64)
+        a, b = simhash.link(arr & np.uint64(simhash.KEY_MASK), arr)
+        assert (b < a).all()
+        nodes = {x: {x} for x in arr.view(np.int64).tolist()}
+        for x, y in zip(a.tolist(), b.tolist()):
+            both = nodes[x] | nodes[y]
+            nodes.update(dict.fromkeys(both, both))
+        assert len(nodes[int(arr.view(np.int64)[0])]) == len(fps)
+
+
 def check_balls(fps):
     import pyarrow as pa
 
