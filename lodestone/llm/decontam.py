@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose the marks at their ends and are lower-cased; numbers, units and names become typed
-placeholders. Names are capitalised words inside a sentence; as copies may change case, windows that
-hold a name are indexed both with the name as a placeholder and with it as a word. Windows of ``WINDOW``
+placeholders. Names are capitalised words; as copies may change case, windows that hold a name are
+indexed both with the name as a placeholder and with it as a word, and as any word is capitalised at the
+start of a sentence, the words there are taken as words, and as names in one more stream. Windows of ``WINDOW``
 canonical words that hold ``LITERALS`` or more plain words are hashed and joined with the windows of the
 benchmark. For each document and item, the matches are aligned, and the slots are checked: along the
 matched words a slot value of the item must always meet the same value in the document, and no two the
@@ -92,31 +93,32 @@ def hashes(code: np.ndarray, width: int) -> np.ndarray:
     return mixed(part[:n] * np.uint64(0x9E3779B97F4A7C15) + (part[width - half : width - half + n] ^ np.uint64(width)))
 
 
-def streams(code: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """Canonical codes with names as words, and with names as slots (None without names)."""
+def streams(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Canonical codes with names as words, with names inside sentences as slots, and with those at sentence starts as
+    slots too. Beside each of the latter two, the slots that the stream before does not have."""
     words = code & ~FLAGS
-    inner = np.zeros(len(code), dtype=bool)
-    if len(code) > 1:
-        inner[1:] = ((code[1:] & np.uint64(CAPITAL)) != 0) & ((code[:-1] & np.uint64(STOP)) == 0) & ((code[1:] & np.uint64(SLOT)) == 0)
-    if not inner.any():
-        return words, None
-    named = words.copy()
-    named[inner] = NAME
-    return words, named
+    yield words, None
+    names = ((code & np.uint64(CAPITAL)) != 0) & ((code & np.uint64(SLOT)) == 0)
+    starts = np.ones(len(code), dtype=bool)
+    starts[1:] = (code[:-1] & np.uint64(STOP)) != 0
+    named = words
+    for fresh in (names & ~starts, names & starts):
+        if fresh.any():
+            named = np.where(fresh, NAME, named)
+            yield named, fresh
 
 
 def windows(code: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, hashes) of the windows that hold enough plain words, from both streams."""
-    words, named = streams(code)
-    for stream in (words, named):
-        if stream is None or len(stream) < width:
-            continue
+    """(positions, hashes) of the windows that hold enough plain words, from all streams."""
+    if len(code) < width:
+        return
+    for stream, fresh in streams(code):
         h = hashes(stream, width)
         slots = np.concatenate(([0], np.cumsum((stream & np.uint64(SLOT)) != 0)))
         good = width - (slots[width:] - slots[:-width]) >= min(LITERALS, width)
-        if stream is named:  # only those with a name differ from the first stream's
-            names = np.concatenate(([0], np.cumsum(stream == np.uint64(NAME))))
-            good &= names[width:] > names[:-width]
+        if fresh is not None:  # only those with a fresh slot differ from the stream before's
+            some = np.concatenate(([0], np.cumsum(fresh)))
+            good &= some[width:] > some[:-width]
         at = np.flatnonzero(good)
         yield at, h[at]
 

@@ -540,6 +540,20 @@ def test_reparameterised_items(text, hit):
     assert bool(got) is hit
 
 
+def leaks(item, text):
+    index, code, w = decontam.Index([(1, item)]), decontam.Codes(), text.encode().split()
+    return index.matches(w, np.fromiter(map(code.__getitem__, w), dtype=np.uint64, count=len(w)))
+
+
+def test_names_at_sentence_starts():
+    item = "Tom has 12 apples. Ann takes 5 of them."
+    assert leaks(item, "Bob has 9 apples. Sue takes 4 of them.")
+    assert leaks(item, "He read this: Bob has 9 apples. Sue takes 4 of them. Then he left.")
+    assert leaks(item, item) and leaks(item, item.lower())
+    assert not leaks(item, "Bob has 9 apples. Bob takes 4 of them.")  # two names became one
+    assert not leaks(item, "Bob saw 9 pears. Sue eats 4 of those.")
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, queries.op9_decontamination(spark, DIR).collect()))
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 200)
