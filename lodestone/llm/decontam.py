@@ -7,9 +7,10 @@ start of a sentence, the words there are taken as words, and as names in one mor
 canonical words that hold ``LITERALS`` or more plain words are hashed and joined with the windows of the
 benchmark. For each document and item, the matches are aligned, and the slots are checked: along the
 matched words a slot value of the item must always meet the same value in the document, and no two the
-same. So a question asked again with other numbers or names is caught, and a chance meeting of templates
-with mixed-up values isn't. A document is contaminated by an item if consistent matches cover
-``COVER`` of the item's words, or ``RUN`` words in a row.
+same (units may: 'mile' and 'miles' both become 'km'). Windows with a slot that conflicts go, the others
+stay. So a question asked again with other numbers or names is caught, and a chance meeting of templates
+with mixed-up values isn't. A document is contaminated by an item if consistent matches cover ``COVER`` of
+the item's words, or ``RUN`` words in a row; where two changed values became one, only ``RUN`` counts.
 
 The benchmark is the query set: its index (sorted hashes) is broadcast in blocks of at most
 ``BLOCK_WINDOWS`` windows, each against all documents, so what is broadcast is bounded and nothing is
@@ -166,35 +167,58 @@ class Index:
 
     def judge(self, i: int, hits: set[tuple[int, int, int]], words: list[bytes], code: np.ndarray) -> dict | None:
         """Slot consistency along each alignment, then coverage."""
-        own, own_code = self.words[i], self.codes[i]
-        by_shift: dict[int, set[int]] = {}
+        own = self.words[i]
+        by_shift: dict[int, set[tuple[int, int]]] = {}
         for shift, spot, width in hits:
-            by_shift.setdefault(shift, set()).update(range(spot, spot + width))
+            by_shift.setdefault(shift, set()).add((spot, spot + width))
         covered: set[int] = set()
+        sure: set[int] = set()
         spans: list[tuple[int, int]] = []
-        for shift, spots in sorted(by_shift.items(), key=lambda x: (-len(x[1]), x[0])):
-            there: dict[bytes, bytes] = {}
-            back: dict[bytes, bytes] = {}
-            fits = True
-            for s in sorted(spots):
-                a, b = own[s].strip(EDGES).lower(), words[s + shift].strip(EDGES).lower()
-                literal = not (own_code[s] & np.uint64(SLOT)) and (own_code[s] & ~FLAGS) == (code[s + shift] & ~FLAGS)
-                if literal:
-                    continue
-                if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                    fits = False
-                    break
-            if fits:
+        for shift, found in sorted(by_shift.items()):
+            odd, merged = self.odd(i, shift, found, words, code)
+            spots = {s for a, z in found if odd.isdisjoint(range(a, z)) for s in range(a, z)}
+            if spots:
                 covered |= spots
                 spans.append((min(spots) + shift, max(spots) + shift + 1))
+                if not merged:
+                    sure |= spots
         run = best = 0
         for s in range(len(own)):
             run = run + 1 if s in covered else 0
             best = max(best, run)
-        if len(covered) < COVER * len(own) and best < RUN:
+        if len(sure) < COVER * len(own) and best < RUN:
             return None
         return {"item": self.ids[i], "share": len(covered) / len(own), "run": best, "start": min(s for s, _ in spans), "end": max(e for _, e in spans)}
 
+    def odd(self, i: int, shift: int, found: set[tuple[int, int]], words: list[bytes], code: np.ndarray) -> tuple[set[int], bool]:
+        """Places of an alignment's slots that conflict with its other slots, and whether two changed values became one.
+
+        An unchanged value goes before a changed one, then the more frequent change, then the first.
+        """
+        own, own_code = self.words[i], self.codes[i]
+        pairs: dict[tuple[bytes, bytes], list[int]] = {}
+        units = set()
+        for s in sorted({s for a, z in found for s in range(a, z)}):
+            a, b = own[s].strip(EDGES).lower(), words[s + shift].strip(EDGES).lower()
+            literal = not (own_code[s] & np.uint64(SLOT)) and (own_code[s] & ~FLAGS) == (code[s + shift] & ~FLAGS)
+            if not literal:
+                pairs.setdefault((a, b), []).append(s)
+                if (own_code[s] & ~FLAGS) == np.uint64(UNIT):
+                    units.add((a, b))  # 'mile' and 'miles' may both become 'km'
+        there: dict[bytes, bytes] = {}
+        back: dict[bytes, bytes] = {}
+        odd: set[int] = set()
+        merged = False
+        for (a, b), at in sorted(pairs.items(), key=lambda x: (x[0][0] != x[0][1], -len(x[1]), x[1][0])):
+            if a in there or ((a, b) not in units and b in back):
+                odd.update(at)
+                merged |= a not in there and back[b] != b
+            else:
+                there[a] = b
+                if (a, b) not in units:
+                    back[b] = a
+        return odd, merged
+
 
 def item_blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, str]]]:
     """The benchmark in blocks of at most BLOCK_WINDOWS words, each collected on its own."""

@@ -554,6 +554,19 @@ def test_names_at_sentence_starts():
     assert not leaks(item, "Bob saw 9 pears. Sue eats 4 of those.")
 
 
+def test_conflicting_slots_cost_their_windows_only():
+    tail = "then everyone walked slowly home along the river bank where tall grass grew and small birds sang until the evening light was gone and nobody spoke about it again"
+    twice = "She paid 12 coins for bread in the village shop by the church and then paid 12 coins for milk from the farm"
+    assert leaks(twice, twice.replace("12 coins for milk", "13 coins for milk"))  # copied, one of two numbers changed
+    assert not leaks(twice, " ".join(twice.replace("12 coins for milk", "13 coins for milk").split()[9:18]))
+    merged = "He took 5 pears and 3 plums from the basket on the table, " + tail
+    got = leaks(merged, merged.replace("5", "4").replace("3", "4"))
+    assert got and got[0]["run"] >= len(tail.split())
+    assert not leaks(ITEM, ITEM.replace("12", "40").replace("5", "40"))
+    units = "From here it is 1 mile to the school, and from the school it is 7 miles to the old harbour"
+    assert leaks(units, units.replace("mile ", "km ").replace("miles", "km").replace("7", "9"))
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, queries.op9_decontamination(spark, DIR).collect()))
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 200)
