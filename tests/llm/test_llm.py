@@ -304,6 +304,17 @@ def test_quality_verdicts(spark):
     assert n.get((1, False), 0) <= 0.01 * n[(1, True)] and n.get((0, True), 0) <= 0.3 * n[(0, False)]
 
 
+def test_quality_of_other_languages(spark):
+    """Clean text of a language of any script has common words of its own; text of one with a thin reference stays."""
+    rng = random.Random(4)
+    vocab = {g: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(800)] for g, letters in (("ru", "абвгдежзиклмнопрстуя"), ("en", "abcdefghiklmnoprstuy"), ("el", "αβγδεζηθικλμνοπρστυ"))}
+    text = lambda g: " ".join(rng.choices(vocab[g], [1 / (k + 9) for k in range(800)], k=300)) + "."
+    rows = [(i, text(g), g) for i, g in enumerate(["ru"] * 60 + ["en"] * 60 + ["el"])]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r["base_failed"] for r in got.values()) and [i for i, r in got.items() if not r["kept"]] == []
+    assert all(got[i]["word_js"] < 0.6 for i in range(120)) and got[120]["word_js"] is None
+
+
 def test_js_distance():
     p, q = np.array([[1.0, 1.0, 0.0]]), np.array([[0.0, 1.0, 1.0]])
     assert quality.js_distance(p, q)[0] == pytest.approx(math.sqrt(0.5))
