@@ -41,13 +41,14 @@ def near_duplicate_gate(spark, sf):
 
 @query("rouge_gate", None)
 def rouge_gate(spark, sf):
-    """ROUGE-L of benchmark items that share a rare word."""
+    """ROUGE-L of benchmark items: all pairs that reach the gate, and those that share a rare word."""
     q = r.tokens(table(spark, sf, "benchmark"), "item_id", "text")
     rare = q.select("doc_id", F.explode(F.array_distinct("tokens")).alias("t"))
     few = rare.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 5").select("t")
     k = rare.join(few, "t")
-    pairs = k.select(F.col("doc_id").alias("a"), "t").join(k.select(F.col("doc_id").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
+    pairs = k.select(F.col("doc_id").alias("a"), "t").join(k.select(F.col("doc_id").alias("b"), "t"), "t").where("a < b").select("a", "b")
     text = table(spark, sf, "benchmark")
+    pairs = pairs.union(sel.rouge_candidates(text, "item_id", "text")).distinct()
     j = pairs.join(text.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("item_id").alias("b"), F.col("text").alias("tb")), "b")
     return sel.rouge_gate(j).select("a", "b", "rouge", "drop")
 

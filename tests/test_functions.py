@@ -238,3 +238,17 @@ def test_greedy_selection(spark):
 
     x = np.random.default_rng(0).normal(size=(60, 3))
     assert latent.canonical_correlations(x, x @ np.array([[2.0, 1, 0], [0, 1, 0], [0, 0, 3]])) == pytest.approx([1, 1, 1])
+
+
+def test_rouge_candidates_are_lossless(spark):
+    import random
+
+    from lodestone.operators import selection as sel
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdef", k=rng.randint(1, 9))) for _ in range(60)] + ["the same item again"] * 8 + [None, "", " x y "]
+    rows = list(enumerate(texts))
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and sel.rouge_l(a or "", b or "") >= 0.7}
+    got = {tuple(r) for r in sel.rouge_candidates(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert want <= got and len(got) < 71 * 70 / 2
+    assert {(i, j) for i in range(60, 68) for j in range(i + 1, 68)} <= got
