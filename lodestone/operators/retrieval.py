@@ -7,8 +7,10 @@ postings of query terms, and ranks come from a top-k window that Spark limits be
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring, text as tx
@@ -114,3 +116,37 @@ def cluster_budget(shares: DataFrame, cluster: str, score: str, total: int) -> D
     n = F.count(F.lit(1)).over(w)
     share = F.col(score) / F.sum(score).over(w)
     return shares.select("query_id", cluster, score, (1 + F.round(share * F.greatest(F.lit(total) - n, F.lit(0)))).cast("int").alias("budget"))
+
+
+def trigrams(word: str) -> set[str]:
+    """Character trigrams of a word between two spaces; an empty word has none."""
+    padded = f" {word} "
+    return {padded[i : i + 3] for i in range(len(padded) - 2)}
+
+
+def max_sims(words: list[str], others: list[str]) -> list[float]:
+    """MaxSim: per word the greatest trigram Jaccard with one of the others (1 for an equal one), by an inverted index."""
+    index: dict[str, list[int]] = {}
+    sizes = []
+    known = dict.fromkeys(others, 1.0)
+    for i, other in enumerate(list(known)):
+        grams = trigrams(other)
+        sizes.append(len(grams))
+        for t in grams:
+            index.setdefault(t, []).append(i)
+    for word in words:
+        if word not in known:
+            grams = trigrams(word)
+            shared = Counter(i for t in grams for i in index.get(t, ()))
+            known[word] = max((n / (len(grams) + sizes[i] - n) for i, n in shared.items()), default=0.0)
+    return [known[w] for w in words]
+
+
+def max_sim_column(words: Column, others: Column) -> Column:
+    """``max_sims`` of two arrays of words."""
+
+    @F.pandas_udf("array<double>")
+    def sims(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([max_sims(list(a), list(b)) for a, b in zip(x, y, strict=True)])
+
+    return sims(words, others)

@@ -249,12 +249,12 @@ def cluster_budgets(spark, sf):
 @query("max_sim_spans", None)
 def max_sim_spans(spark, sf):
     """Word spans of each conversation turn that come close to the turn before it: per word the greatest trigram
-    overlap with a word there, threshold 0.5, neighbouring words merged."""
+    Jaccard with a word there, threshold 0.5, neighbouring words merged."""
     from pyspark.sql import Window
 
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    w = c.withColumn("before", F.array_distinct(F.split(F.lower(prev), r"\s+"))).where("before IS NOT NULL").select("conv_id", "turn", "before", F.posexplode(F.split(F.lower("text"), r"\s+")).alias("place", "word"))
-    near = w.select("conv_id", "turn", "place", F.array_contains("before", F.col("word")).cast("double").alias("sim")).where("sim >= 0.5")
+    w = c.withColumn("before", F.array_distinct(F.split(F.lower(prev), r"\s+"))).where("before IS NOT NULL").select("conv_id", "turn", F.posexplode(r.max_sim_column(F.split(F.lower("text"), r"\s+"), F.col("before"))).alias("place", "sim"))
+    near = w.where("sim >= 0.5")
     island = F.col("place") - F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("place"))
     return near.withColumn("i", island).groupBy("conv_id", "turn", "i").agg(F.min("place").alias("start"), (F.max("place") + 1).alias("end")).drop("i")
