@@ -235,7 +235,7 @@ def kmeans_labels(spark, sf):
 
 @query("kmeans_elbow", None)
 def kmeans_elbow(spark, sf):
-    return cluster.elbow(table(spark, sf, "embeddings"), "vec_id", "embedding", most=8)
+    return cluster.elbow(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
 @query("min_max_scaled", "WITH m AS (SELECT min(n_chars) AS a, max(n_chars) AS b FROM documents WHERE lang = 'en') SELECT doc_id, round((n_chars - a) / CAST(b - a AS DOUBLE), 6) AS scaled FROM documents, m")
