@@ -7,6 +7,8 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import input_bytes
+
 #: Java pattern of the characters between words: space and the ASCII controls 09 to 0D.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -28,6 +30,20 @@ def with_outputs(df: DataFrame, outputs: dict[str, Column], drop: Iterable[str]
     return df.select(*keep, *[v.alias(k) for k, v in outputs.items()])
 
 
+def helper(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores as no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_out(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+    """A small table, which may lie in one file and so in one task, dealt over all cores; a larger one as it is."""
+    size = input_bytes(df)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size is not None and size < small else df
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

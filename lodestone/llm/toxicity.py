@@ -1,56 +1,116 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-1. Over the labelled training rows (at most ``MAX_LABELLED`` of each label by hash of the id: a documented
-   bound of the fit, so the labels are broadcast and no text is shuffled), documents with and without the label are counted per term (lower-case
-   words, and their beginnings of 4 and 5 bytes). Terms of ``MIN_DOCS`` or more documents whose smoothed
-   log odds ratio, less one standard error, reaches ``MIN_ODDS`` are the vocabulary, at most
-   ``MAX_TERMS`` of the highest.
-2. One pass over all documents takes their counts of these terms; document frequencies are summed over
-   all documents.
-3. The labelled examples that have a term of the vocabulary (at most ``MAX_EXAMPLES`` by hash of the
-   id, the other bound of the fit) are indexed: vectors of ``(1 + ln tf) * idf``, length 1, in
-   blocks of ``BLOCK``; beside the postings each term keeps the greatest weight in each block.
-4. A document's blocks of highest upper bound are scored first; their k-th best cosine is the bar, and
-   the blocks whose upper bound reaches it are scored too. The rest can't hold one of the k nearest,
-   which so are exact. Ties go to the smaller example number.
-
-The score is the vote of the neighbours, weighted by cosine and drawn to the base rate of documents
-without evidence by a weight of ``SHRINK``; the neighbours are the evidence.
-
-Defined results: null and empty texts, and texts without a term of the vocabulary, get the base rate;
-without training labels every score is 0; a document with several labels is toxic if one says so;
-repeated rows score alike; a null id is not in the held-out fold and never trained on.
+1. Terms are all lower-case words, and their beginnings of 4 and 5 bytes that tell of the label. No word is cut.
+2. Over the labelled training rows (at most ``MAX_LABELLED`` of each label by hash of the id: a documented bound of
+   the fit, so the labels are broadcast and no text is shuffled) documents with and without the label are counted per
+   term. A term's gain is its smoothed log odds ratio, less two standard errors and ``ODDS``; where positive, the term
+   has a number of its own. Other words are numbered by ``BITS`` bits of a hash.
+3. Document frequencies are counted over all documents. A term weighs ``(1 + ln tf) * idf * relevance``; the
+   relevance of a word is ``FLOOR`` and its gain, of a beginning its gain. Vectors have length 1.
+4. The labelled examples (at most ``MAX_EXAMPLES``, half of them of each label, by hash of the id: the other bound of
+   the fit) are indexed. They lie in blocks of ``BLOCK``, neighbours sharing their heaviest term; beside its postings each
+   term keeps its greatest weight in each block where it occurs.
+5. A document's blocks are opened in the order of their upper bounds, and only the postings of opened blocks are walked,
+   until the next bound is below the k-th best cosine: the k nearest are exact. Ties go to the smaller number.
+
+The score is the vote of the neighbours, weighted by cosine and by how many labelled rows an example stands for, and
+drawn to the base rate by a weight of ``SHRINK``; the neighbours are the evidence.
+
+Defined results: null and empty texts get the base rate; without training labels every score is 0; a document with
+several labels is toxic if one says so; repeated rows score alike; a null id is not in the held-out fold and never
+trained on.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize
-from .common import slices, strings
+from .common import slices, spread_out, strings
 
-MIN_ODDS, MIN_DOCS, MAX_TERMS = 3.2, 5, 4_000
+BITS = 18
+FLOOR, ODDS, ERRORS = 0.05, 1.0, 2.0
 MAX_LABELLED = 20_000
-MAX_EXAMPLES = 8_000
-#: Vectors whose votes a worker remembers.
-REMEMBER = 20_000
-BLOCK, PROBE, NEIGHBOURS, SHRINK = 64, 4, 15, 0.5
+MAX_EXAMPLES = 2_000
+#: Texts whose votes, and words whose terms, a worker remembers; beyond, it forgets them all.
+REMEMBER, WORDS = 20_000, 400_000
+#: Postings (and example rows) that are searched at a time.
+TOGETHER = 500_000
+BLOCK, PROBE, NEIGHBOURS, SHRINK = 128, 2, 15, 0.5
 EDGES = b".,;:!?*#&%$|\"'()[]<>{}-_/\\+=~`@^"
 
 
-def terms_of(text: str | None) -> list[bytes]:
-    """Lower-case words without marks at their ends."""
-    return [w for w in (x.strip(EDGES) for x in text.lower().encode("utf-8", "surrogatepass").split()) if w] if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words."""
+    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
 
 
 def forms_of(word: bytes) -> tuple[bytes, ...]:
-    """The terms that a word stands for: itself and its beginnings."""
-    return (word, word[:4] + b"*", word[:5] + b"*") if len(word) > 5 else (word, word[:4] + b"*") if len(word) > 4 else (word,)
+    """A word without the marks at its ends, and its beginnings, each marked by a star."""
+    word = word.strip(EDGES)
+    return (word, *(word[:n] + b"*" for n in (4, 5) if len(word) > n)) if word else ()
+
+
+class Terms(dict):
+    """Word to its term's number (-1 for marks only), remembered; ``extra`` holds the told beginnings of such words.
+
+    A term of ``told`` (by label) has a number of its own, beyond those of hashed words.
+    """
+
+    def __init__(self, told: dict[bytes, int]):
+        super().__init__()
+        self.told, self.extra = told, {}
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > WORDS:
+            self.clear()
+            self.extra.clear()
+        w = word.strip(EDGES)
+        got = self.told.get(w, -1)
+        if got < 0 and w:
+            got = crc32(w) >> (32 - BITS)
+        if len(w) > 4:
+            some = [self.told[f] for f in forms_of(w)[1:] if f in self.told]
+            if some:
+                self.extra[word] = some
+        self[word] = got
+        return got
+
+    def of(self, words: Iterable[bytes]) -> tuple[list[int], list[bytes]]:
+        """The words' numbers, and those words that have told beginnings."""
+        ids = list(map(self.__getitem__, words))
+        return ids, [w for w in words if w in self.extra] if self.extra else []
+
+
+def document_frequencies(src: DataFrame, told: dict[bytes, int]) -> np.ndarray:
+    """In how many rows of the column ``_text`` each term occurs; a row per term reaches the driver."""
+    shared = src.sparkSession.sparkContext.broadcast(told)  # bounded by the labelled rows
+    size = (1 << BITS) + len(told)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = Terms(shared.value), np.zeros(size, dtype=np.int64)
+        for batch in slices(batches, "_text"):
+            found: list[int] = []
+            for t in strings(batch, "_text"):
+                ids, rich = known.of(set(words_of(t)))
+                some = set(ids).union(*(known.extra[w] for w in rich))
+                some.discard(-1)
+                found += some
+            total += np.bincount(np.array(found, dtype=np.int64), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["term", "n"])
+
+    got = src.mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[np.asarray(got.column("term").combine_chunks())] = np.asarray(got.column("n").combine_chunks())
+    return out
 
 
 def term_counts(labelled: DataFrame) -> DataFrame:
@@ -58,6 +118,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
+        forms: dict[bytes, tuple[bytes, ...]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             names = list(held[0].keys() | held[1].keys())
@@ -71,7 +132,11 @@ def term_counts(labelled: DataFrame) -> DataFrame:
 
         for batch in slices(batches, "_text"):
             for t, y in zip(strings(batch, "_text"), strings(batch, "_toxic"), strict=True):
-                held[1 if y else 0].update({f for w in set(terms_of(t)) for f in forms_of(w)})
+                words = set(words_of(t))
+                if len(forms) > WORDS:
+                    forms.clear()
+                forms.update((w, forms_of(w)) for w in words if w not in forms)
+                held[1 if y else 0].update(set().union(*map(forms.__getitem__, words)))
             if len(held[0]) + len(held[1]) > 400_000:
                 yield from out()
         yield from out()
@@ -79,129 +144,157 @@ def term_counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "term binary, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def vocabulary(labelled: DataFrame) -> list[bytes]:
-    """Terms that tell the labels apart, strongest first."""
-    classes = {r["_toxic"]: r["n"] for r in labelled.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = classes.get(1, 0), classes.get(0, 0)
+def gains(labelled: DataFrame, n1: int, n0: int) -> dict[bytes, float]:
+    """Terms that tell of the label, and how much: all of them; the labelled rows bound their number."""
     if not n1 or not n0:
-        return []
+        return {}
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
-    low = F.round(odds - F.sqrt(1 / a + 1 / b), 9)
-    told = term_counts(labelled).where(F.col("n1") + F.col("n0") >= MIN_DOCS).withColumn("low", low).where(F.col("low") >= MIN_ODDS)
-    return [bytes(r["term"]) for r in told.orderBy(F.col("low").desc(), "term").limit(MAX_TERMS).select("term").collect()]
+    gain = F.round(odds - ERRORS * F.sqrt(1 / a + 1 / b) - ODDS, 9)
+    return {bytes(r["term"]): r["gain"] for r in term_counts(labelled).select("term", gain.alias("gain")).where("gain > 0").orderBy("term").collect()}
 
 
-def term_vectors(docs: DataFrame, vocab: list[bytes], key: str, text: str) -> DataFrame:
-    """``(key, terms, tf)``: the vocabulary's terms in each document, one pass over all texts."""
-    src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    index = {t: i for i, t in enumerate(vocab)}
-    schema = T.StructType([src.schema["_key"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after the other."""
+    size = end - start
+    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index.keys()
-        for batch in slices(batches, "_text"):
-            terms, tf = [], []
-            for t in strings(batch, "_text"):
-                words = terms_of(t)
-                some = {w: f for w in set(words) if (f := [x for x in forms_of(w) if x in known])}
-                if some:
-                    n = Counter(index[f] for w in words if w in some for f in some[w])
-                    at = sorted(n)
-                    terms.append(at)
-                    tf.append([n[i] for i in at])
-                else:
-                    terms.append([])
-                    tf.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+class BlockMaxIndex:
+    """Postings by term and block of examples. ``entry`` is a (term, block) with its postings and their greatest weight.
 
+    ``labels`` are 0 or 1, ``stands`` says how many labelled rows an example stands for, ``weight`` is idf by relevance.
+    """
 
-class BlockMaxIndex:
-    """Postings by term in blocks of examples; ``tops[t, b]`` is the greatest weight of term t in block b."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list, idf: np.ndarray, base: float):
-        self.labels, self.ids, self.idf, self.base = np.array(labels, dtype=float), ids, idf, base
-        self.blocks = -(-len(vectors) // BLOCK)
-        self.tops = np.zeros((len(idf), max(1, self.blocks)), dtype=np.float64)
-        rows = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)]) if vectors else np.empty(0, int)
-        cols = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, int)
-        w = np.concatenate([x for _, x in vectors]) if vectors else np.empty(0)
-        order = np.lexsort((rows, cols))
-        self.rows, self.w, cols = rows[order], w[order], cols[order]
-        np.maximum.at(self.tops, (cols, self.rows // BLOCK), self.w)
-        # where term t's postings of block b begin
-        self.start = np.searchsorted(cols * (self.blocks + 1) + self.rows // BLOCK, np.arange(len(idf))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)[None, :]) if len(vectors) else None
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list, weight: np.ndarray, base: float, stands: list[float] | None = None):
+        self.weight, self.base, self.visited = weight, base, 0
+        heavy = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (heavy[i], labels[i], i))
+        self.number = np.array(order, dtype=np.int64)  # of the example in each row of the blocks
+        self.labels, self.stands, self.ids = np.array(labels, dtype=float), np.array(stands or [1.0] * len(labels)), ids
+        self.blocks = -(-len(order) // BLOCK)
+        parts = [vectors[i] for i in order]
+        rows = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(parts)]) if parts else np.empty(0, np.int64)
+        cols = np.concatenate([t for t, _ in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
+        w = np.concatenate([x for _, x in parts]) if parts else np.empty(0)
+        by = np.lexsort((rows, cols))
+        rows, cols, self.w = rows[by], cols[by], w[by]
+        self.rows = rows.astype(np.int32)
+        key = cols * max(1, self.blocks) + rows // BLOCK
+        self.start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        self.block = (key[self.start] % max(1, self.blocks)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.w, self.start) if len(key) else np.empty(0)
+        self.entry = np.searchsorted(cols[self.start], np.arange(len(weight) + 1)).astype(np.int32)
+        self.start = np.append(self.start, len(key))
 
     def weigh(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[terms]
+        w = (1 + np.log(tf)) * self.weight[terms]
         length = np.sqrt((w * w).sum())
         return w / length if length else w
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest positive cosine: (example numbers, cosines)."""
-        if not len(terms) or not self.blocks:
-            return np.empty(0, int), np.empty(0)
-        bound = w @ self.tops[terms]
-        first = np.argsort(-bound, kind="stable")[:PROBE]
-        open_ = np.zeros(self.blocks, dtype=bool)
-        open_[first] = True
-        got = self._score(terms, w, open_)
-        if np.count_nonzero(got > 0) >= k:
-            bar = np.partition(got, -k)[-k]
-            wanted = (bound >= bar - 1e-9) & ~open_
-        else:
-            wanted = (bound > 0) & ~open_
-        if wanted.any():
-            got = got + self._score(terms, w, wanted)
-        hit = np.flatnonzero(got > 0)
-        got = np.round(got[hit], 12)
-        top = np.lexsort((hit, -got))[:k]
-        return hit[top], got[top]
-
-    def _score(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines of the examples in the given blocks, 0 elsewhere."""
-        out = np.zeros(len(self.labels))
-        for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-            a, z = self.start[t, 0], self.start[t, self.blocks]
-            rows = self.rows[a:z]
-            mine = blocks[rows // BLOCK]
-            out[rows[mine]] += x * self.w[a:z][mine]
+        return self.nearest_all([(terms, w)], k)[0]
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for several vectors; those of at most ``TOGETHER`` postings (or one) are searched together."""
+        cost = np.cumsum([int((self.start[self.entry[t + 1]] - self.start[self.entry[t]]).sum()) + len(self.labels) for t, _ in vectors])
+        out, at = [], 0
+        while at < len(vectors):
+            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + TOGETHER, "right")))
+            out += self._search(vectors[at:end], k)
+            at = end
+        return out
+
+    def _search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, n, blocks = len(vectors), len(self.labels), self.blocks
+        got = np.zeros((m, n))
+        if n:
+            terms, w = np.concatenate([t for t, _ in vectors]), np.concatenate([x for _, x in vectors])
+            a, z = self.entry[terms], self.entry[terms + 1]
+            entry, share = ranges(a, z), np.repeat(w, z - a)
+            whose = np.repeat(np.repeat(np.arange(m), [len(t) for t, _ in vectors]), z - a)
+            cell = whose * blocks + self.block[entry]
+            bound = np.bincount(cell, self.top[entry] * share, minlength=m * blocks).reshape(m, blocks)
+            rank = np.empty((m, blocks), dtype=np.int64)
+            np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(blocks)[None], axis=1)
+            bar, at, step = np.full(m, 1e-15), 0, PROBE
+            while at < blocks:
+                open_ = (rank >= at) & (rank < at + step) & (bound >= bar[:, None])
+                mine = np.flatnonzero(open_.ravel()[cell])
+                if not len(mine):
+                    break  # every bound that is left is below its bar
+                first, last = self.start[entry[mine]], self.start[entry[mine] + 1]
+                p, size = ranges(first, last), last - first
+                self.visited += len(p)
+                got += np.bincount(np.repeat(whose[mine] * n, size) + self.rows[p], self.w[p] * np.repeat(share[mine], size), minlength=m * n).reshape(m, n)
+                if n >= k:
+                    bar = np.maximum(np.partition(got, -k, axis=1)[:, -k] - 1e-9, 1e-15)
+                at, step = at + step, 2 * step
+        out = []
+        for row in got:
+            hit = np.flatnonzero(row > 0)
+            if len(hit) > k:
+                hit = hit[row[hit] >= np.partition(row[hit], -k)[-k] - 1e-9]
+            c, number = np.round(row[hit], 12), self.number[hit]
+            top = np.lexsort((number, -c))[:k]
+            out.append((number[top], c[top]))
         return out
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
+        s = s * self.stands[i]
         return float(((s * self.labels[i]).sum() + SHRINK * self.base) / (s.sum() + SHRINK))
 
 
+def vector(text: str | None, known: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, how often each occurs) of a text."""
+    n = Counter(words_of(text))
+    ids, rich = known.of(n)
+    count = list(n.values())
+    for w in rich:
+        ids += known.extra[w]
+        count += [n[w]] * len(known.extra[w])
+    at, where = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
+    tf = np.bincount(where, weights=count, minlength=len(at))
+    return (at[1:], tf[1:]) if len(at) and at[0] < 0 else (at, tf)
+
+
+def fit(docs: DataFrame, labels: DataFrame, trained_on, key: str, text: str, label: str) -> tuple[BlockMaxIndex, dict[bytes, int]]:
+    """The index and the terms of their own numbers: two passes over the labelled rows and one over all documents."""
+    every = labels.where(trained_on).where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_toxic"))
+    sample = [every.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED) for y in (0, 1)]
+    told = F.broadcast(materialize(sample[0].unionByName(sample[1]), "told"))  # at most 2 * MAX_LABELLED ids
+    own = spread_out(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
+    labelled = materialize(own.join(told, own["_key"] == told["_id"]).select("_key", "_text", "_toxic"), "labelled")
+    size = {r["_toxic"]: r["n"] for r in labelled.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    gain = gains(labelled, n1, n0)
+    told = {t: (1 << BITS) + i for i, t in enumerate(gain)}
+    relevance = np.full((1 << BITS) + len(told), FLOOR)
+    for t, i in told.items():
+        relevance[i] = gain[t] + (0.0 if t.endswith(b"*") else FLOOR)
+    weight = (np.log((docs.count() + 1) / (document_frequencies(own, told) + 1)) + 1) * relevance
+    half = MAX_EXAMPLES // 2
+    rows = [r for y in (0, 1) for r in labelled.where(F.col("_toxic") == y).orderBy(F.xxhash64("_key"), "_key").limit(half).collect()]  # at most MAX_EXAMPLES rows
+    base = n1 / (n1 + n0) if n1 else 0.0
+    blank, known = BlockMaxIndex([], [], [], weight, base), Terms(told)
+    vectors = [(t, blank.weigh(t, tf)) for t, tf in (vector(r["_text"], known) for r in rows)]
+    stands = [max(1.0, size[r["_toxic"]] / half) for r in rows]
+    return BlockMaxIndex(vectors, [r["_toxic"] for r in rows], [r["_key"] for r in rows], weight, base, stands), told
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, trained_on, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The operator: ``(key, score, predicted, evidence)`` per row of ``docs``.
 
     ``trained_on`` is a condition on the key of rows whose labels may be learned from; ``evidence`` lists
     the nearest examples as ``array<struct<id, cosine, label>>``.
     """
-    every = labels.where(trained_on).where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_toxic"))
-    sample = [every.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED) for y in (0, 1)]
-    told = F.broadcast(materialize(sample[0].unionByName(sample[1]), "told"))  # at most 2 * MAX_LABELLED ids
-    own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    labelled = materialize(own.join(told, own["_key"] == told["_id"]).select("_text", "_toxic"), "labelled")
-    vocab = vocabulary(labelled)
-    vectors = materialize(term_vectors(docs, vocab, key, text), "vectors")
-    n_docs = vectors.count()
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per term of the vocabulary
-    idf = np.array([np.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(vocab))])
-    marked = vectors.join(told, vectors["_key"] == told["_id"])
-    silent = marked.where("size(terms) = 0").agg(F.count(F.lit(1)).alias("n"), F.sum("_toxic").alias("y")).first()
-    base = (silent["y"] or 0) / silent["n"] if silent["n"] else 0.0
-    chosen = marked.where("size(terms) > 0").orderBy(F.xxhash64("_key"), "_key").limit(MAX_EXAMPLES).select("_key", "terms", "tf", "_toxic").collect()  # bounded by MAX_EXAMPLES
-    blank = BlockMaxIndex([], [], [], idf, base)
-    examples = [(np.array(r["terms"]), blank.weigh(np.array(r["terms"]), np.array(r["tf"]))) for r in chosen]
-    index = BlockMaxIndex(examples, [r["_toxic"] for r in chosen], [r["_key"] for r in chosen], idf, base)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    key_type = vectors.schema["_key"].dataType
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, trained_on, key, text, label))  # bounded by MAX_EXAMPLES and BITS
+    src = spread_out(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
+    key_type = src.schema["_key"].dataType
     schema = T.StructType(
         [
-            vectors.schema["_key"],
+            src.schema["_key"],
             T.StructField("score", T.DoubleType()),
             T.StructField("predicted", T.IntegerType()),
             T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("id", key_type), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))),
@@ -209,25 +302,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, trained_on, key: str = "doc_id"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, known = shared.value, {}
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            scores, seen = [], []
-            if len(known) > REMEMBER:
-                known.clear()
-            for terms, tf in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not terms:
-                    scores.append(ix.base)
-                    seen.append([])
-                    continue
-                same = (*terms, -1, *tf)
-                if same not in known:
-                    t = np.array(terms)
-                    known[same] = ix.nearest(t, ix.weigh(t, np.array(tf)))
-                i, s = known[same]
-                scores.append(ix.vote(i, s))
-                seen.append([{"id": ix.ids[a], "cosine": float(c), "label": int(ix.labels[a])} for a, c in zip(i, s, strict=True)])
-            kind = pa.list_(pa.struct([("id", id_type), ("cosine", pa.float64()), ("label", pa.int32())]))
+        index, told = shared.value
+        known, votes = Terms(told), {}
+        for batch in slices(batches, "_text"):
+            if len(votes) > REMEMBER:
+                votes.clear()
+            texts = strings(batch, "_text")
+            same = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            fresh = {s: t for s, t in zip(same, texts, strict=True) if s not in votes}
+            vectors = [(at, index.weigh(at, tf)) for at, tf in (vector(t, known) for t in fresh.values())]
+            for s, (i, c) in zip(fresh, index.nearest_all(vectors), strict=True):
+                votes[s] = index.vote(i, c), [{"id": index.ids[a], "cosine": float(x), "label": int(index.labels[a])} for a, x in zip(i, c, strict=True)]
+            scores, seen = [votes[s][0] for s in same], [votes[s][1] for s in same]
+            kind = pa.list_(pa.struct([("id", batch.schema.field(0).type), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(seen, kind)], names=schema.names)
 
-    return vectors.mapInArrow(run, schema).withColumnRenamed("_key", key)
+    return src.mapInArrow(run, schema).withColumnRenamed("_key", key)

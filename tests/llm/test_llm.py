@@ -355,6 +355,59 @@ def test_nearest_is_exact():
         assert np.allclose(s, c[want], atol=1e-9) and np.allclose(c[i], c[want], atol=1e-9)
 
 
+def test_nearest_opens_few_blocks(monkeypatch):
+    """Of the postings of the query's terms only those of opened blocks are walked."""
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    weight = rng.uniform(1, 5, 400)
+    blank = toxicity.BlockMaxIndex([], [], [], weight, 0.1)
+    topic = [np.sort(rng.choice(np.arange(20 * k, 20 * k + 20), 6, replace=False)) for k in range(20) for _ in range(100)]
+    ex = [(t, blank.weigh(t, np.ones(6))) for t in topic]
+    ix = toxicity.BlockMaxIndex(ex, [0] * 2000, list(range(2000)), weight, 0.1)
+    every = sum(int((ix.start[ix.entry[t + 1]] - ix.start[ix.entry[t]]).sum()) for t, _ in ex[::40])
+    ix.nearest_all(ex[::40], k=3)
+    assert 0 < ix.visited < every
+
+
+@pytest.mark.parametrize("bound", [2_000, 60])
+def test_toxicity_brute_force(spark, docs, monkeypatch, bound):
+    """Score and evidence of every document against dictionaries over all of its words."""
+    monkeypatch.setattr(toxicity, "MAX_EXAMPLES", bound)
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, DIR, "labels").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    marks = ".,;:!?*#&%$|\"'()[]<>{}-_/\\+=~`@^"
+    words = {i: [w.strip(marks.encode()) for w in (t or "").lower().encode().split()] for i, t in zip(docs.doc_id, docs.text)}
+    forms = lambda w: [w] + [w[:n] + b"*" for n in (4, 5) if len(w) > n]
+    n = {y: Counter(f for i in labels if labels[i] == y for f in {f for w in words[i] if w for f in forms(w)}) for y in (0, 1)}
+    size = Counter(labels.values())
+    gain = {}
+    for f in n[0].keys() | n[1].keys():
+        a, b = n[1][f] + 0.5, n[0][f] + 0.5
+        g = math.log(a / (size[1] + 1 - a)) - math.log(b / (size[0] + 1 - b)) - 2 * math.sqrt(1 / a + 1 / b) - 1
+        if round(g, 9) > 0:
+            gain[f] = g
+    term = lambda f: f if f in gain else zlib.crc32(f) >> 14
+    tf = {i: Counter(term(f) for w in ws if w for f in forms(w) if f in gain or not f.endswith(b"*")) for i, ws in words.items()}
+    df = Counter(x for c in tf.values() for x in c)
+
+    def vector(i):
+        v = {x: (1 + math.log(c)) * (math.log((len(tf) + 1) / (df[x] + 1)) + 1) * (gain.get(x, 0) + (0 if isinstance(x, bytes) and x.endswith(b"*") else 0.05)) for x, c in tf[i].items()}
+        z = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / z for x, w in v.items()}
+
+    order = {r["doc_id"]: k for k, r in enumerate(table(spark, DIR, "documents").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect())}
+    chosen = [i for y in (0, 1) for i in sorted((i for i in labels if labels[i] == y), key=order.get)[: bound // 2]]
+    vectors = {i: vector(i) for i in tf}
+    for r in queries.op5_toxicity(spark, DIR).collect():
+        v = vectors[r["doc_id"]]
+        cos = sorted(((round(sum(w * vectors[e].get(x, 0.0) for x, w in v.items()), 12), -k, e) for k, e in enumerate(chosen)), reverse=True)[:15]
+        cos = [c for c in cos if c[0] > 1e-12]
+        stands = {y: max(1.0, size[y] / (bound // 2)) for y in (0, 1)}
+        share = [c * stands[labels[e]] for c, _, e in cos]
+        want = (sum(s * labels[e] for s, (_, _, e) in zip(share, cos)) + 0.5 * size[1] / (size[0] + size[1])) / (sum(share) + 0.5)
+        assert [c for c, _, _ in cos] == pytest.approx([e["cosine"] for e in r["evidence"]], abs=1e-9)
+        assert r["score"] == pytest.approx(want, abs=1e-6) and r["predicted"] == (r["score"] >= 0.5)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries.op5_toxicity(spark, d).where("held_out").join(table(spark, d, "labels"), "doc_id").toPandas()
