@@ -503,6 +503,42 @@ def test_repeats_table(spark, docs):
     assert got == slow_repeats(list(zip(docs.doc_id, docs.text)))
 
 
+def test_repeats_in_many_blocks(spark, monkeypatch):
+    """Some 200 blocks: windows are found between blocks and inside them."""
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 8_000)
+    d = "/root/testdata/sf0.01"
+    assert substring.block_count(1_600_000) == 200 and substring.levels(13) == [4, 7, 13]
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, d, "documents").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, queries.op7_substring_dedup(spark, d).collect())) == slow_repeats(rows)
+
+
+@pytest.mark.parametrize("blocks", [1, 50])
+def test_repeats_of_extreme_ids(spark, monkeypatch, blocks):
+    """A null id counts as greater than the greatest; narrow ids keep their type, others are refused."""
+    monkeypatch.setattr(substring, "block_count", lambda size: blocks)
+    text = " ".join(f"w{k}" for k in range(20))
+    top = (1 << 63) - 1
+    d = spark.createDataFrame([(None, text), (None, text), (top, text), (top, text)], "doc_id long, text string")
+    assert sorted((r["doc_id"] is None, r["n_removed"]) for r in substring.repeats(d).collect()) == [(False, 0), (False, 0), (True, 20), (True, 20)]
+    alone = substring.repeats(d.where("doc_id IS NULL")).collect()
+    assert [(r["doc_id"], r["n_removed"]) for r in alone] == [(None, 0)] * 2
+    low = spark.createDataFrame([(-(1 << 63), text), (top, text), (0, text)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.repeats(low).collect()} == {-(1 << 63): 0, 0: 20, top: 20}
+    assert substring.repeats(low.where("doc_id = 0").withColumn("doc_id", F.lit(3).cast("short"))).first()["doc_id"] == 3
+    with pytest.raises(TypeError):
+        substring.repeats(d.withColumn("doc_id", F.lit("x")))
+
+
+def test_word_hashes():
+    raw = "a aa é b\x00 b " .encode() + b"x" * 8 + b" " + b"x" * 9 + b" " + b"x" * 200 + b" a\t\x0baa"
+    start, end = substring.word_bounds(raw)
+    words = [raw[a:b] for a, b in zip(start, end)]
+    assert words == raw.split()
+    h = substring.word_hashes(raw, start, end)
+    assert all((x == y) == (u == v) for x, u in zip(words, h) for y, v in zip(words, h))
+    assert len(substring.word_bounds(b"")[0]) == 0
+
+
 def test_repeats_edges(spark, edge):
     rows = substring.repeats(edge.withColumn("removed", F.lit(1))).collect()
     assert len(rows) == len(EDGES) and sum(r["n_removed"] for r in rows) == 0 and sum(r["doc_id"] is None for r in rows) == 1
