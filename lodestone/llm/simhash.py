@@ -12,15 +12,16 @@ about half of them:
   even parity flips those two, the other one flips the third. So only even fingerprints emit flips of
   two bits, and only of two in the same half: by Mantel's theorem no smaller set of pairs will do.
 
-Variants are shuffled by 16 of their bits. As most variants of a fingerprint agree in those, the
-fingerprint travels once for each value that its variants have there (45 rows on average rather than
-560), and is unfolded behind the shuffle. There, fingerprints that meet in a variant are linked to the
-least of them if one of them reaches it by at most one flip: any other is at most two flips away, so
+Variants are shuffled by some of their bits (``key_bits``: 16, more for more fingerprints). As most variants of a
+fingerprint agree in those, the fingerprint travels once for each value that its variants have there (45 rows on average
+for 16 bits rather than 560), and is unfolded behind the shuffle. There, fingerprints that meet in a variant are linked to
+the least of them if one of them reaches it by at most one flip: any other is at most two flips away, so
 each such pair is within 3, verified by construction. Pairs inside a group are never listed: a group
 of n gives n links. Equal fingerprints are one node from the start.
 
-Memory: a task unfolds at most ``UNFOLD`` variants at a time; a larger set of one shuffle key is
-unfolded in passes over sub-ranges of the variants.
+Memory: a task unfolds some ``UNFOLD`` variants at a time, of whole keys. A key with more is split by eight further bits
+of the variants, and again where that is not enough; only the fingerprints with a variant there take part, so the
+work grows with the key's rows.
 
 Defined results: a null or empty text has the fingerprint 0 and is linked like any other; a text with
 fewer words than a shingle is one shingle; an empty table gives no rows; repeated rows share a class; a
@@ -30,6 +31,7 @@ null id takes part but never names a class (a class of null ids alone has a null
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -39,22 +41,43 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import star_components
 from ..session import materialize, partitions_for
-from .common import slices, strings
+from .common import helper, slices, strings
 
 RADIUS = 3
-KEY_BITS = [*range(8), *range(32, 40)]
-FREE_BITS = [b for b in range(64) if b not in KEY_BITS]
 HALF = lambda b: b // 32
-KEY_MASK = sum(1 << b for b in KEY_BITS)
 #: Variants that a task unfolds at a time.
 UNFOLD = 2_000_000
+#: Key bits for at most so many fingerprints: some ten thousand rows a key where they are spread evenly.
+WIDTHS = ((16, 1 << 24), (24, 1 << 34), (32, 1 << 63))
+DEEPER = 8
 
 _u = lambda xs: np.array(list(xs), dtype=np.uint64)
-NEAR = _u([0, *(1 << b for b in FREE_BITS)])
-FAR = _u((1 << a) | (1 << b) for a, b in combinations(FREE_BITS, 2) if HALF(a) == HALF(b))
-KEY_ONE = _u(1 << b for b in KEY_BITS)
-KEY_TWO = _u((1 << a) | (1 << b) for a, b in combinations(KEY_BITS, 2) if HALF(a) == HALF(b))
-FREE_OF_HALF = [_u(1 << b for b in FREE_BITS if HALF(b) == h) for h in (0, 1)]
+
+
+class Key:
+    """A shuffle key of so many bits, half of them from each half of the variant."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.bits = [*range(width // 2), *range(32, 32 + width // 2)]
+        self.free = [b for b in range(64) if b not in self.bits]
+        self.mask = np.uint64(sum(1 << b for b in self.bits))
+        pairs = lambda bits: _u((1 << a) | (1 << b) for a, b in combinations(bits, 2) if HALF(a) == HALF(b))
+        self.one, self.two = _u(1 << b for b in self.bits), pairs(self.bits)
+        self.near, self.far = _u([0, *(1 << b for b in self.free)]), pairs(self.free)
+        self.free_of_half = [_u(1 << b for b in self.free if HALF(b) == h) for h in (0, 1)]
+
+
+@lru_cache
+def key_of(width: int) -> Key:
+    return Key(width)
+
+
+def key_bits(fingerprints: int) -> int:
+    return next(width for width, most in WIDTHS if fingerprints <= most)
+
+
+KEY_BITS, FREE_BITS, KEY_MASK = key_of(16).bits, key_of(16).free, int(key_of(16).mask)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -94,30 +117,45 @@ def parity(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp) & 1
 
 
-def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spread(batches: Iterator[pa.RecordBatch], width: int = 16) -> Iterator[pa.RecordBatch]:
     """Each fingerprint once for every value of the key bits among its variants."""
+    k = key_of(width)
     for batch in batches:
         all_fp = np.asarray(batch.column(0)).view(np.uint64)
         for at in range(0, len(all_fp), 20_000):
             fp = all_fp[at : at + 20_000]
             even = fp[parity(fp) == 0]
-            keys = np.concatenate([fp & np.uint64(KEY_MASK), ((fp[:, None] ^ KEY_ONE) & np.uint64(KEY_MASK)).ravel(), ((even[:, None] ^ KEY_TWO) & np.uint64(KEY_MASK)).ravel()])
-            whose = np.concatenate([fp, np.repeat(fp, len(KEY_ONE)), np.repeat(even, len(KEY_TWO))])
+            keys = np.concatenate([fp & k.mask, ((fp[:, None] ^ k.one) & k.mask).ravel(), ((even[:, None] ^ k.two) & k.mask).ravel()])
+            whose = np.concatenate([fp, np.repeat(fp, len(k.one)), np.repeat(even, len(k.two))])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whose.view(np.int64))], names=["key", "fp"])
 
 
-def unfold(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All variants with the given key bits: (variant, row, reached by at most one flip)."""
-    own = fp & np.uint64(KEY_MASK)
+def flips(key: np.ndarray, fp: np.ndarray, k: Key) -> tuple[np.ndarray, np.ndarray]:
+    """Bits in which a fingerprint differs from a key, and whether it has a variant with that key."""
+    off = (fp & k.mask) ^ key
+    n = np.bitwise_count(off)
+    one_half = ((off >> np.uint64(32)) == 0) | ((off & np.uint64(0xFFFFFFFF)) == 0)
+    return n, (n <= 1) | ((n == 2) & one_half & (parity(fp) == 0))
+
+
+def costs(key: np.ndarray, fp: np.ndarray, k: Key) -> np.ndarray:
+    """How many variants each fingerprint has with its key."""
+    n, even = flips(key, fp, k)[0], parity(fp) == 0
+    return np.where(n == 0, len(k.near) + len(k.far) * even, np.where(n == 1, 1 + len(k.free_of_half[0]) * even, 1))
+
+
+def unfold(key: np.ndarray, fp: np.ndarray, k: Key) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All variants with the given keys: (variant, row, reached by at most one flip)."""
+    own = fp & k.mask
     base = (fp ^ own) | key
-    flips = np.bitwise_count(own ^ key)
+    n = np.bitwise_count(own ^ key)
     even = parity(fp) == 0
     rows = np.arange(len(fp), dtype=np.int64)
-    none, one, two = flips == 0, flips == 1, flips == 2
-    variants = [(base[none][:, None] ^ NEAR).ravel(), base[one], (base[none & even][:, None] ^ FAR).ravel(), base[two]]
-    whose = [np.repeat(rows[none], len(NEAR)), rows[one], np.repeat(rows[none & even], len(FAR)), rows[two]]
+    none, one, two = n == 0, n == 1, n == 2
+    variants = [(base[none][:, None] ^ k.near).ravel(), base[one], (base[none & even][:, None] ^ k.far).ravel(), base[two]]
+    whose = [np.repeat(rows[none], len(k.near)), rows[one], np.repeat(rows[none & even], len(k.far)), rows[two]]
     near = [True, True, False, False]
-    for h, free in enumerate(FREE_OF_HALF):
+    for h, free in enumerate(k.free_of_half):
         at = one & even & ((((own ^ key) >> np.uint64(32)) != 0) == bool(h))
         variants.append((base[at][:, None] ^ free).ravel())
         whose.append(np.repeat(rows[at], len(free)))
@@ -155,79 +193,91 @@ def settle(label: np.ndarray, group: np.ndarray, row: np.ndarray) -> np.ndarray:
         label = fresh
 
 
-def link(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of whole keys that connect all that meet: (fingerprint, lesser fingerprint).
-
-    Each pass links a row's label before it to the label after it, so what passes join adds up.
-    """
-    cost = int((parity(fp) == 0).sum()) * (len(NEAR) + len(FAR))
-    passes = -(-cost // (4 * UNFOLD)) if len(fp) > 1 and (key == key[0]).all() else 1
-    label = fp.view(np.int64).copy()
-    a, b = [], []
-    for p in range(max(1, passes)):
-        parts = [unfold(key[at : at + 4096], fp[at : at + 4096]) + (at,) for at in range(0, len(fp), 4096)] if passes <= 1 else _sub_range(key, fp, p, passes)
-        variant = np.concatenate([x[0] for x in parts])
-        row = np.concatenate([x[1] + x[3] for x in parts])
-        near = np.concatenate([x[2] for x in parts])
-        before, label = label, settle(label, *meet(variant, row, near))
-        moved = label != before
-        a.append(before[moved])
+def chunks(key: np.ndarray, cost: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole keys (sorted) of at most ``UNFOLD`` variants, or of one key."""
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    total = np.cumsum(cost)[ends - 1]
+    at, spent, before = 0, 0, 0
+    for e, t in zip(ends.tolist(), total.tolist(), strict=True):
+        if t - spent > UNFOLD and before > at:
+            yield at, before
+            at, spent = before, last
+        before, last = e, t
+    yield at, len(key)
+
+
+def link(key: np.ndarray, fp: np.ndarray, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows of whole keys (sorted) that connect all that meet: (fingerprint, lesser fingerprint)."""
+    k, a, b = key_of(width), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    cost = costs(key, fp, k)
+    for at, end in chunks(key, cost):
+        if end - at < 2:
+            continue
+        if width < 64 and cost[at:end].sum() > UNFOLD:
+            for part in deeper(key[at], fp[at:end], k):
+                x, y = link(*part, width + DEEPER)
+                a.append(x)
+                b.append(y)
+            continue
+        own = fp[at:end].view(np.int64)
+        label = settle(own, *meet(*unfold(key[at:end], fp[at:end], k)))
+        moved = label != own
+        a.append(own[moved])
         b.append(label[moved])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _sub_range(key: np.ndarray, fp: np.ndarray, p: int, passes: int) -> list:
-    """The variants of pass p: those whose mixed bits fall to it."""
-    out = []
-    for at in range(0, len(fp), 4096):
-        v, r, n = unfold(key[at : at + 4096], fp[at : at + 4096])
-        mine = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(passes) == p
-        out.append((v[mine], r[mine], n[mine], at))
-    return out
+def deeper(key: np.uint64, fp: np.ndarray, k: Key) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One key's rows for each value of ``DEEPER`` further bits: (longer key, fingerprints with a variant there)."""
+    wide = key_of(k.width + DEEPER)
+    fresh = [b for b in wide.bits if b not in k.bits]
+    for value in range(1 << DEEPER):
+        longer = key | np.uint64(sum(1 << b for i, b in enumerate(fresh) if value >> i & 1))
+        some = fp[flips(longer, fp, wide)[1]]
+        if len(some) > 1:
+            yield np.full(len(some), longer, dtype=np.uint64), some
 
 
-def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def meeting(batches: Iterator[pa.RecordBatch], width: int = 16) -> Iterator[pa.RecordBatch]:
     """Links of one partition whose rows are sorted by key; only whole keys are unfolded together."""
-    held_k, held_f = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    keys: list[np.ndarray] = []
+    prints: list[np.ndarray] = []
+    held = 0
 
-    def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        a, b = link(k, f)
+    def links() -> pa.RecordBatch:
+        a, b = link(np.concatenate(keys), np.concatenate(prints), width)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def cut(k: np.ndarray, f: np.ndarray) -> np.ndarray:
-        """Ends of runs of keys that are unfolded together."""
-        cost = np.cumsum(np.where(np.bitwise_count((f & np.uint64(KEY_MASK)) ^ k) == 0, np.where(parity(f) == 0, len(NEAR) + len(FAR), len(NEAR)), 13))
-        ends = np.flatnonzero(k[1:] != k[:-1]) + 1
-        out, spent = [], 0
-        for e in ends:
-            if cost[e - 1] - spent >= UNFOLD:
-                out.append(e)
-                spent = cost[e - 1]
-        return np.array(out, dtype=np.int64)
-
     for batch in batches:
-        held_k = np.concatenate([held_k, np.asarray(batch.column(0)).view(np.uint64)])
-        held_f = np.concatenate([held_f, np.asarray(batch.column(1)).view(np.uint64)])
-        if len(held_k) < 2:
+        if not batch.num_rows:
             continue
-        at = 0
-        for e in cut(held_k, held_f):
-            yield links(held_k[at:e], held_f[at:e])
-            at = e
-        held_k, held_f = held_k[at:], held_f[at:]
-    if len(held_k):
-        ends = [*np.flatnonzero(held_k[1:] != held_k[:-1]) + 1, len(held_k)] if len(held_k) > 60_000 else [len(held_k)]
-        at = 0
-        for e in ends:
-            yield links(held_k[at:e], held_f[at:e])
-            at = e
-
-
-def fingerprint_links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
+        k, f = (np.asarray(batch.column(c)).view(np.uint64) for c in (0, 1))
+        turns = np.flatnonzero(k[1:] != k[:-1]) + 1
+        whole = int(turns[-1]) if len(turns) else 0  # rows before the batch's last key
+        if not whole and keys and keys[-1][-1] != k[0]:
+            yield links()
+            keys, prints, held = [], [], 0
+        elif whole:
+            keys.append(k[:whole])
+            prints.append(f[:whole])
+            if held + whole >= 1 << 16:
+                yield links()
+                keys, prints, held = [], [], 0
+            else:
+                held += whole
+        keys.append(k[whole:])
+        prints.append(f[whole:])
+        held += len(k) - whole
+    if keys:
+        yield links()
+
+
+def fingerprint_links(distinct: DataFrame, partitions: int | None = None, width: int | None = None) -> DataFrame:
     """Links ``(a, b)`` that connect all fingerprints (column ``fp``, distinct) within the radius."""
-    n = partitions or partitions_for(distinct, 4 << 20)  # a fingerprint becomes some 45 rows
-    met = distinct.select("fp").mapInArrow(spread, "key bigint, fp bigint").repartition(n, "key").sortWithinPartitions("key")
-    return met.mapInArrow(meeting, "a bigint, b bigint")
+    n = partitions or partitions_for(distinct, 4 << 20)  # a fingerprint becomes some 45 rows or more
+    bits = width or key_bits(distinct.count())
+    met = distinct.select("fp").mapInArrow(lambda b: spread(b, bits), "key bigint, fp bigint").repartition(n, "key").sortWithinPartitions("key")
+    return met.mapInArrow(lambda b: meeting(b, bits), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -251,6 +301,7 @@ def keep_one(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFr
     Rows with a null key can't be told apart and stay. The texts are shuffled once: the join and the
     removal of repeats share their partitioning.
     """
-    leads = classes.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_lead"))
-    kept = docs.join(leads, docs[key] == F.col("_lead"), "left_semi").dropDuplicates([key])
+    lead = helper(docs, "_lead")
+    leads = classes.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(lead))
+    kept = docs.join(leads, docs[key] == F.col(lead), "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -161,14 +161,26 @@ def test_simhash_passes_add_up(monkeypatch):
         assert len(nodes[int(arr.view(np.int64)[0])]) == len(fps)
 
 
-def check_balls(fps):
+@pytest.mark.parametrize("width", [24, 32])
+def test_simhash_wide_keys(width, monkeypatch):
+    """Wider shuffle keys find the same links; so do keys split several times beside small ones in one chunk."""
+    rng = random.Random(width)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for _ in range(120)} | {rng.getrandbits(64) for _ in range(40)}
+    check_balls(sorted(fps), width)
+    monkeypatch.setattr(simhash, "UNFOLD", 300)
+    check_balls(sorted(fps), width)
+    assert [simhash.key_bits(n) for n in (0, 1 << 24, (1 << 24) + 1, 1 << 40)] == [16, 16, 24, 32]
+
+
+def check_balls(fps, width=16):
     import pyarrow as pa
 
     arr = np.array(fps, dtype=np.uint64)
-    out = list(simhash.spread([pa.RecordBatch.from_arrays([pa.array(arr.view(np.int64))], names=["fp"])]))
+    out = list(simhash.spread([pa.RecordBatch.from_arrays([pa.array(arr.view(np.int64))], names=["fp"])], width))
     k, f = (np.concatenate([np.asarray(b.column(c)) for b in out]) for c in (0, 1))
     o = np.argsort(k, kind="stable")
-    links = [(a, b) for x in simhash.meeting([pa.RecordBatch.from_arrays([pa.array(k[o][i : i + 700]), pa.array(f[o][i : i + 700])], names=["key", "fp"]) for i in range(0, len(k), 700)]) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+    links = [(a, b) for x in simhash.meeting([pa.RecordBatch.from_arrays([pa.array(k[o][i : i + 700]), pa.array(f[o][i : i + 700])], names=["key", "fp"]) for i in range(0, len(k), 700)], width) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
     signed = arr.view(np.int64).tolist()
     root = {x: x for x in signed}
 
