@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm import decontam, mixing, quality, secrets, simhash
+from lodestone.llm.common import helper
 from lodestone.session import materialize, table
 
 #: SimHash, the conditional histograms and the slot checks have no SQL form: tests compare with brute force.
@@ -16,8 +17,9 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the divergence from every language reference reject go."""
-    verdicts = quality.quality(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    kept = helper(docs, "_kept")
+    verdicts = quality.quality(docs).where("kept").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col(kept)), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +34,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; ``n_chars`` follows where a text changes."""
-    found = secrets.find_secrets(docs)
-    clean = secrets.redact(found.withColumn("_n", F.size("secrets")))
-    return clean.withColumn("n_chars", F.when(F.col("_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    spans = helper(docs, "_spans")
+    clean = secrets.redact(secrets.find_secrets(docs, out=spans), spans=spans)
+    changed = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", changed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
