@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import ship
 from .common import slices, strings
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 25
@@ -234,6 +235,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     ``start`` and ``end`` bound the matched words of the document.
     """
+    ship(docs.sparkSession)
     src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     schema = T.StructType(
         [
@@ -280,6 +282,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows: one pass for each block of the benchmark, without a shuffle."""
+    ship(docs.sparkSession)
     out = docs
     for block in item_blocks(items, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(Index(block))

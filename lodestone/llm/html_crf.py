@@ -29,6 +29,7 @@ from math import exp, log
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import ship
 from .common import slices, strings
 
 # Kinds of HTML elements.
@@ -446,6 +447,7 @@ def main_text(pages: DataFrame, key: str = "page_id", html: str = "html", carry:
 
     ``blocks`` are the main blocks; ``n_blocks`` counts all blocks of the page.
     """
+    ship(pages.sparkSession)
     src = pages.select(F.col(key).alias("_key"), *carry, F.col(html).alias("_html"))
     schema = T.StructType([*src.drop("_html").schema.fields, T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("n_blocks", T.LongType())])
     shared = pages.sparkSession.sparkContext.broadcast(chain or trained())  # some hundred weights

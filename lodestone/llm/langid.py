@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import materialize
+from ..session import materialize, ship
 from .common import slices, strings
 
 ORDER = 4
@@ -270,6 +270,7 @@ def identify(docs: DataFrame, trained_on: Column, key: str = "doc_id", text: str
 
     ``trained_on`` says which rows' texts and languages may be learned from.
     """
+    ship(docs.sparkSession)
     model = train(materialize(count_grams(docs.where(trained_on), text, lang), "grams"))
     names = F.array(*[F.lit(x) for x in model.langs]).cast("array<string>")
     flagged = docs.withColumn("_train", F.coalesce(trained_on, F.lit(False))).withColumn("_lang", F.col(lang))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize, partitions_for
-from .common import with_outputs
+from .common import helper, with_outputs
 
 #: One Poisson draw covers a mean of at most this; a larger mean is the sum of several draws.
 MEAN_PER_DRAW = 32.0
@@ -68,19 +68,16 @@ def with_steps(rates: DataFrame) -> DataFrame:
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 42, source: str = "source", key: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """Explodes documents by their Poisson counts and shuffles the copies globally."""
-    steps = with_steps(rates).select(F.col("source_key").alias("_mix_source"), F.col("draws").alias("_mix_draws"), F.col("steps").alias("_mix_steps"))
+    own = {n: helper(docs, f"_mix_{n}") for n in ("source", "draws", "steps", "n", "copy")}
+    steps = with_steps(rates).select(F.col("source_key").alias(own["source"]), F.col("draws").alias(own["draws"]), F.col("steps").alias(own["steps"]))
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(steps) if few else steps, docs[source].eqNullSafe(F.col("_mix_source")), "inner")
+    joined = docs.join(F.broadcast(steps) if few else steps, docs[source].eqNullSafe(F.col(own["source"])), "inner")
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("_mix_draws")), F.lit(0), lambda n, j: n + F.size(F.filter("_mix_steps", lambda c: c <= uniform(seed, F.col(key), j)))
-    )
-    drawn = joined.withColumn("_mix_n", count).where("_mix_n > 0")
-    copies = drawn.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    out = with_outputs(
-        copies,
-        {"copy_no": F.col("_mix_copy"), "mix_key": uniform(seed + 1, F.col(key), F.col("_mix_copy"))},
-        drop=["_mix_source", "_mix_draws", "_mix_steps", "_mix_n", "_mix_copy"],
+        F.sequence(F.lit(1), F.col(own["draws"])), F.lit(0), lambda n, j: n + F.size(F.filter(own["steps"], lambda c: c <= uniform(seed, F.col(key), j)))
     )
+    drawn = joined.withColumn(own["n"], count).where(F.col(own["n"]) > 0)
+    copies = drawn.withColumn(own["copy"], F.explode(F.sequence(F.lit(1), F.col(own["n"]))))
+    out = with_outputs(copies, {"copy_no": F.col(own["copy"]), "mix_key": uniform(seed + 1, F.col(key), F.col(own["copy"]))}, drop=own.values())
     # The key is uniform by construction: its range is cut evenly, without a sampling pass.
     n = partitions or partitions_for(docs)
     by = F.floor(F.col("mix_key") * F.lit(float(n)) / F.lit(float(GRAIN))).cast("int")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..session import materialize
+from ..session import materialize, ship
 from .common import slices, strings
 
 #: Words of each language whose frequencies make the second histogram.
@@ -243,6 +243,7 @@ def judge(measured: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], m
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The operator: one row per document with counts, distances and the verdict ``kept``."""
+    ship(docs.sparkSession)
     common = common_words(docs, text, lang)
     measured = materialize(base_failed(measure(docs, common, key, text, lang)), "quality")
     return judge(measured, references(measured, len(common))).withColumnRenamed("_key", key).drop("_lang")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import star_components
-from ..session import materialize, partitions_for
+from ..session import materialize, partitions_for, ship
 from .common import helper, slices, strings
 
 RADIUS = 3
@@ -102,6 +102,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """``(key, fp)`` with the fingerprint as a signed 64-bit number."""
+    ship(docs.sparkSession)
     src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     schema = src.select("_key").schema.add("fp", "long")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import input_bytes, partitions_for
+from ..session import input_bytes, partitions_for, ship
 
 #: A block aims at this much of the table's files; from ``MANY_BLOCKS`` blocks on at more, up to ``LARGE_BLOCK``.
 #: Many small blocks fill the shuffle partitions evenly, few large ones keep a hot passage's entries few.
@@ -315,6 +315,7 @@ def repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
     """
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         raise TypeError(f"{key} must be a whole number, as smaller ids go before greater ones")
+    ship(docs.sparkSession)
     n = partitions or partitions_for(docs)
     src = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     size = input_bytes(docs)

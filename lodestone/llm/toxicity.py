@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import materialize
+from ..session import materialize, ship
 from .common import slices, spread_out, strings
 
 BITS = 18
@@ -289,6 +289,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, trained_on, key: str = "doc_id"
     ``trained_on`` is a condition on the key of rows whose labels may be learned from; ``evidence`` lists
     the nearest examples as ``array<struct<id, cosine, label>>``.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, trained_on, key, text, label))  # bounded by MAX_EXAMPLES and BITS
     src = spread_out(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     key_type = src.schema["_key"].dataType

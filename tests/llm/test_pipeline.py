@@ -42,3 +42,18 @@ def test_stages_of_edges(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, DIR).collect()
         assert stage(spark, docs.limit(0), DIR).collect() == []
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named like the stages' outputs and helpers come back as they were."""
+    names = ["secrets", "_n", "_kept", "_lead", "_base", "_BASE_", "_spans", "_mix_source", "_mix_n", "_key", "_text", "kept", "component_id"]
+    text = " ".join(f"word{i}" for i in range(80)) + " password = Abcdefgh12 "
+    docs = spark.createDataFrame([(i, text + str(i), "en", "a", len(text)) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.concat(F.lit(f"own {n} "), "doc_id") for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, DIR).collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[n] == f"own {n} {r['doc_id']}" for n in names), name
+        if name == "secret_scan":
+            assert all("[SECRET]" in r["text"] and r["n_chars"] == len(r["text"]) for r in rows)
