@@ -8,13 +8,16 @@ languages share sorted hash arrays: one array of 64-bit gram hashes per order, b
 probabilities (a column per language), and likewise the weights of the contexts; a lookup is a binary
 search, and only grams that no language has seen go on to a lower order.
 
-A document's language has the least cross-entropy per character. The score is calibrated on the
-training documents: a logistic function, fitted to whether the prediction is right, of the margin over
-the second language and the length. A document whose cross-entropy lies over ``REJECT_SIGMAS``
-standard deviations above the training documents' of its language is rejected: ``rejected`` is true,
-and with ``reject=True`` its language is ``und``.
-
-Size: the distinct 4-grams of a language's letters level off; the driver refuses over ``MAX_GRAMS``.
+A document's language has the least cross-entropy per character. Score and rejection are fitted on a fold of the training
+documents that the model was not trained on: one in ``FOLD`` by hash of the id, of each language with ``FOLD_FROM`` or more
+of them (without such a language, on the training documents). Over the fold, each language's own cross-entropy has a
+mean and a deviation. The score is a logistic function of the margin over the second language, the same by the root of the
+length, and of how many deviations the cross-entropy lies above the mean of the language. It is fitted to whether the
+prediction is right, on each document as it is, and once more with its own language taken away: then any prediction is
+wrong, as for a text of a language that nobody has taught. A document with a score below 0.5 (with one language: over
+``REJECT_SIGMAS`` deviations) is rejected: ``rejected`` is true, and with ``reject=True`` its language is ``und``.
+
+Size: the distinct 4-grams of a language's letters level off; the driver refuses over ``MAX_CELLS`` grams times languages.
 Letters above U+FFFF are folded into 16 bits.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; without training documents
@@ -30,13 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import materialize, ship
-from .common import slices, strings
+from .common import helper, slices, strings
 
 ORDER = 4
-MAX_GRAMS = 20_000_000
+#: Distinct grams times languages: the driver holds some 16 bytes for each, a worker 4.
+MAX_CELLS = 30_000_000
 REJECT_SIGMAS = 6.0
-#: Training documents that the calibration is fitted on, by hash order (a bounded sample).
+FOLD, FOLD_FROM = 10, 30
+#: Documents of the fold that the score is fitted on, by hash order (a bounded sample).
 CALIBRATION_ROWS = 20_000
+#: A language's deviation is at least this; that of a text of n characters has ``NOISE / n`` more of squared bits.
+LEAST_SIGMA, NOISE = 0.05, 9.0
+#: Features of the score are cut at these.
+MAX_SIGMAS, MAX_CHARS = 25.0, 10_000
 #: Bytes of text that are looked up at a time.
 STEP = 1 << 20
 
@@ -208,8 +217,10 @@ def _find(table: tuple[np.ndarray, np.ndarray], g: np.ndarray, k: int) -> np.nda
 def train(counts: DataFrame) -> Model:
     """The driver's part: from gram counts, whose number is checked, to the arrays."""
     size = counts.count()
-    if size > MAX_GRAMS:
-        raise ValueError(f"{size} grams; the model is meant for at most {MAX_GRAMS}")
+    if size:
+        grams_, langs_ = counts.select("code").distinct().count(), counts.select("lang").distinct().count()
+        if grams_ * langs_ > MAX_CELLS:
+            raise ValueError(f"{grams_} grams of {langs_} languages; the model is meant for a product of at most {MAX_CELLS}")
     table = counts.toArrow()
     langs = np.array(table.column("lang").to_pylist(), dtype=object)
     code = np.asarray(table.column("code").combine_chunks()).view(np.uint64) if size else np.empty(0, np.uint64)
@@ -246,14 +257,35 @@ def entropies(docs: DataFrame, model: Model, key: str, text: str, carry: list[st
     return src.mapInArrow(run, schema)
 
 
-def features(bits: Column, chars: Column) -> tuple[Column, Column]:
-    """Margin of the best over the second language, and its product with the length's root."""
-    ordered = F.array_sort(bits)
-    margin = F.when(F.size(bits) > 1, ordered[1] - ordered[0]).otherwise(F.lit(1.0))
-    return margin, margin * F.sqrt(F.least(chars, F.lit(10_000)).cast("double"))
+def features(bits: np.ndarray, chars: np.ndarray, mean: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best language, features of the score) of each row of cross-entropies; languages of infinite ones don't take part."""
+    order = np.sort(bits, axis=1)
+    best = np.argmin(bits, axis=1)
+    margin = np.where(np.isfinite(order[:, 1]), order[:, 1] - order[:, 0], 0.0) if bits.shape[1] > 1 else np.ones(len(bits))
+    far = (order[:, 0] - mean[best]) / np.sqrt(sigma[best] ** 2 + NOISE / np.maximum(chars, 1))
+    return best, np.column_stack([margin, margin * np.sqrt(np.minimum(chars, MAX_CHARS)), np.clip(far, -MAX_SIGMAS, MAX_SIGMAS)])
+
+
+def feature_columns(bits: Column, chars: Column, best: Column, mean: np.ndarray, sigma: np.ndarray) -> list[Column]:
+    """The same as columns."""
+    at = F.array_position(bits, best).cast("int") - 1
+    listed = lambda xs: F.array(*[F.lit(float(x)) for x in xs]).cast("array<double>")
+    margin = F.when(F.size(bits) > 1, F.array_sort(bits)[1] - best).otherwise(F.lit(1.0))
+    sd = F.sqrt(F.pow(F.get(listed(sigma), at), F.lit(2)) + F.lit(NOISE) / F.greatest(chars, F.lit(1)))
+    far = (best - F.get(listed(mean), at)) / sd
+    return [margin, margin * F.sqrt(F.least(chars, F.lit(MAX_CHARS)).cast("double")), F.least(F.lit(MAX_SIGMAS), F.greatest(F.lit(-MAX_SIGMAS), far))]
+
+
+def calibrate(bits: np.ndarray, chars: np.ndarray, own: np.ndarray, mean: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Weights of the score: rows as they are, and with their own language taken away."""
+    without = bits.copy()
+    without[np.arange(len(bits)), own] = np.inf
+    best, x = features(bits, chars, mean, sigma)
+    _, z = features(without, chars, mean, sigma)
+    return fit_logistic(np.vstack([x, z]), np.concatenate([best == own, np.zeros(len(z), dtype=bool)]).astype(float))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1.0) -> np.ndarray:
     """Newton's method for a ridge-penalised logistic regression with intercept."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -271,25 +303,29 @@ def identify(docs: DataFrame, trained_on: Column, key: str = "doc_id", text: str
     ``trained_on`` says which rows' texts and languages may be learned from.
     """
     ship(docs.sparkSession)
-    model = train(materialize(count_grams(docs.where(trained_on), text, lang), "grams"))
+    own = {n: helper(docs, f"_{n}") for n in ("train", "fold", "lang")}
+    learn = F.coalesce(trained_on, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).isNotNull()
+    many = [r["g"] for r in docs.where(learn).groupBy(F.col(lang).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FOLD_FROM).collect()]  # a row per language
+    folded = learn & F.col(lang).cast("string").isin(many) & (F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(FOLD)) == 0)
+    model = train(materialize(count_grams(docs.where(learn & ~folded), text, lang), "grams"))
     names = F.array(*[F.lit(x) for x in model.langs]).cast("array<string>")
-    flagged = docs.withColumn("_train", F.coalesce(trained_on, F.lit(False))).withColumn("_lang", F.col(lang))
-    scored = materialize(entropies(flagged, model, key, text, ["_train", "_lang"]), "entropies")
+    flagged = docs.withColumns({own["train"]: F.coalesce(trained_on, F.lit(False)), own["fold"]: folded if many else learn, own["lang"]: F.col(lang).cast("string")})
+    rows = materialize(entropies(flagged, model, key, text, list(own.values())), "entropies").withColumnsRenamed({v: f"_{k}" for k, v in own.items()})
+    known = rows.where("_fold AND bits IS NOT NULL").withColumn("own", F.array_position(names, F.col("_lang")).cast("int") - 1).where("own >= 0")
+    mean, sigma = np.full(len(model.langs), np.inf), np.full(len(model.langs), LEAST_SIGMA)
+    stats = known.groupBy("own").agg(F.avg(F.col("bits")[F.col("own")]).alias("m"), F.stddev_pop(F.col("bits")[F.col("own")]).alias("s")).collect()  # a row per language
+    for r in stats:
+        mean[r["own"]], sigma[r["own"]] = r["m"], max(LEAST_SIGMA, r["s"])
+    if stats:
+        mean[np.isinf(mean)] = np.mean([r["m"] for r in stats])  # languages too rare for the fold
+    sample = known.select("bits", "chars", "own", F.xxhash64("_key").alias("h")).orderBy("h").limit(CALIBRATION_ROWS).toPandas()
+    w = calibrate(np.array(sample["bits"].tolist()), sample["chars"].to_numpy(), sample["own"].to_numpy(), mean, sigma) if len(sample) and len(model.langs) > 1 else None
     best = F.array_min("bits")
     guess = F.get(names, F.array_position("bits", best).cast("int") - 1)
-    margin, scaled = features(F.col("bits"), F.col("chars"))
-    rows = scored.withColumns({"best": best, "guess": guess, "margin": margin, "scaled": scaled})
-    known = rows.where("_train AND _lang IS NOT NULL AND guess IS NOT NULL")
-    limits = {r["guess"]: r["m"] + REJECT_SIGMAS * (r["s"] or 0.0) for r in known.groupBy("guess").agg(F.avg("best").alias("m"), F.stddev_pop("best").alias("s")).collect()}  # a row per language
-    sample = known.select("margin", "scaled", (F.col("guess") == F.col("_lang")).cast("int").alias("y"), F.xxhash64("_key").alias("h")).orderBy("h").limit(CALIBRATION_ROWS).toArrow()
-    y = np.asarray(sample.column("y").combine_chunks()) if sample.num_rows else np.empty(0)
-    if len(y):
-        w = fit_logistic(np.column_stack([np.asarray(sample.column(c).combine_chunks()) for c in ("margin", "scaled")]), y)
-    else:
-        w = np.zeros(3)
-    z = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("margin") + F.lit(float(w[2])) * F.col("scaled")
-    score = F.when(F.col("guess").isNull(), F.lit(0.0)).when(F.lit(len(model.langs) == 1), F.lit(1.0)).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
-    limit = F.coalesce(*[F.when(F.col("guess") == k, F.lit(float(v))) for k, v in sorted(limits.items())], F.lit(float("inf")))
-    rejected = F.col("guess").isNull() | (F.col("best") > limit)
-    pred = F.when(F.col("guess").isNull() | (rejected & F.lit(reject)), F.lit("und")).otherwise(F.col("guess"))
+    columns = feature_columns(F.col("bits"), F.col("chars"), best, mean, sigma)
+    z = F.lit(0.0) if w is None else sum((F.lit(float(a)) * c for a, c in zip(w[1:], columns, strict=True)), F.lit(float(w[0])))
+    alone = len(model.langs) == 1
+    score = F.when(guess.isNull(), F.lit(0.0)).when(F.lit(alone), F.lit(1.0)).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
+    rejected = guess.isNull() | (columns[2] > REJECT_SIGMAS if alone else (score < 0.5) & F.lit(w is not None))
+    pred = F.when(guess.isNull() | (rejected & F.lit(reject)), F.lit("und")).otherwise(guess)
     return rows.select(F.col("_key").alias(key), F.col("_train").alias("trained_on"), pred.alias("lang_pred"), score.alias("score"), rejected.alias("rejected"), "bits")

@@ -600,6 +600,36 @@ def test_language_held_out(spark):
     assert got.held_out.sum() == sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in table(spark, d, "documents").toPandas().doc_id)
 
 
+def test_language_score_is_calibrated(spark):
+    """On held-out documents the mean score is the accuracy; texts of languages that nobody taught are rejected."""
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    noise = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randint(3, 9))) for _ in range(60)) for _ in range(20)]
+    russian = [" ".join("".join(rng.choices("абвгдежзиклмнопрстуя", k=rng.randint(2, 9))) for _ in range(60)) for _ in range(20)]
+    strange = spark.createDataFrame([(-i - 1, t, None) for i, t in enumerate(noise + russian)], "doc_id long, text string, lang string")
+    got = langid.identify(docs.unionByName(strange), queries.fold(4) != 2).join(docs.select("doc_id", "lang"), "doc_id", "left").toPandas()
+    odd, held = got[got.doc_id < 0], got[(got.doc_id >= 0) & ~got.trained_on & (got.score > 0)]
+    assert (odd.lang_pred == "und").all() and odd.rejected.all() and odd.score.max() < 0.5
+    right = (held.lang_pred == held.lang).mean()
+    assert right > 0.97 and abs(held.score.mean() - right) < 0.02 and held.rejected.mean() < 0.02
+
+
+def test_language_taken_away(spark):
+    """The language of a quarter of the corpus is untaught: its documents score low and are mostly rejected."""
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"), F.col("lang").alias("truth"))
+    got = langid.identify(docs, F.col("lang").isNotNull()).join(docs.select("doc_id", "truth"), "doc_id").toPandas()
+    french = got[(got.truth == "fr") & (got.score > 0)]
+    assert french.rejected.mean() > 0.9 and french.score.mean() < 0.1
+
+
+def test_language_model_is_bounded(spark, edge, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_CELLS", 3)
+    with pytest.raises(ValueError, match="grams of"):
+        langid.identify(edge, F.lit(True))
+
+
 def slow_kneser_ney(texts):
     """The interpolated model by its definition: a function of (history, character)."""
     counts = {4: Counter()}
