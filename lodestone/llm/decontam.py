@@ -6,18 +6,22 @@ indexed both with the name as a placeholder and with it as a word, and as any wo
 start of a sentence, the words there are taken as words, and as names in one more stream. Windows of ``WINDOW``
 canonical words that hold ``LITERALS`` or more plain words are hashed and joined with the windows of the
 benchmark. For each document and item, the matches are aligned, and the slots are checked: along the
-matched words a slot value of the item must always meet the same value in the document, and no two the
-same (units may: 'mile' and 'miles' both become 'km'). Windows with a slot that conflicts go, the others
+matched words a slot value of the item must always meet the same value in the document, and no two names the
+same (numbers and units may: 12 and 5 both become 40, 'mile' and 'miles' both 'km'). Windows with a slot that conflicts go, the others
 stay. So a question asked again with other numbers or names is caught, and a chance meeting of templates
 with mixed-up values isn't. A document is contaminated by an item if consistent matches cover ``COVER`` of
-the item's words, or ``RUN`` words in a row; where two changed values became one, only ``RUN`` counts.
+the item's words, or ``RUN`` words in a row; where two changed names became one, only ``RUN`` counts. Items of fewer
+than ``LITERALS`` plain words have no template: they match where their very words follow each other, items of one or two
+words only a document that is nothing else.
+
+Before anything is aligned, the words that an item's windows could cover are counted from the distinct windows that it
+shares with the document: of a template that many items share, only items that can reach the limits are looked at.
 
 The benchmark is the query set: its index (sorted hashes) is broadcast in blocks of at most
 ``BLOCK_WINDOWS`` windows, each against all documents, so what is broadcast is bounded and nothing is
 shuffled. Whole texts are read.
 
-Defined results: null and empty texts match nothing; items under ``LITERALS`` plain words are skipped;
-items shorter than a window are one window; equal items each match; repeated rows each give their rows;
+Defined results: null and empty texts match nothing, on either side; items shorter than a window are one window; equal items each match; repeated rows each give their rows;
 null ids are kept; an empty table on either side gives no rows.
 """
 
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import ship
-from .common import slices, strings
+from .common import ranges, slices, strings
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 25
 BLOCK_WINDOWS = 1_000_000
@@ -51,6 +56,7 @@ CAPITAL, STOP, SLOT = 1, 2, 4
 _kind = lambda name: (xxhash.xxh64_intdigest(name) & ~7) | SLOT
 NUM, UNIT, MIXED, NAME = _kind(b"\x00number"), _kind(b"\x00unit"), _kind(b"\x00measure"), _kind(b"\x00name")
 FLAGS = np.uint64(CAPITAL | STOP)
+VALUES = frozenset(np.uint64(x) for x in (NUM, UNIT, MIXED))
 
 
 def code_of(word: bytes) -> int:
@@ -125,17 +131,33 @@ def windows(code: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield at, h[at]
 
 
+class Literals(dict):
+    """Word to a code of its letters alone, without slots."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBER:
+            self.clear()
+        core = word.strip(EDGES)
+        c = self[word] = xxhash.xxh64_intdigest(core.decode("utf-8", "replace").lower().encode())
+        return c
+
+
 class Index:
     """Windows of one block of the benchmark."""
 
     def __init__(self, items: list[tuple[object, str]]):
         self.ids, self.words, self.codes = [], [], []
-        code = Codes()
+        self.short: dict[int, dict[int, list]] = {}  # number of words -> hash of the whole item -> ids
+        code, plain = Codes(), Literals()
         got: dict[int, list] = {}
         for item, text in items:
             w = text.encode("utf-8", "surrogatepass").split()
+            if not w:
+                continue
             c = np.fromiter(map(code.__getitem__, w), dtype=np.uint64, count=len(w))
             if int(((c & np.uint64(SLOT)) == 0).sum()) < LITERALS:
+                whole = hashes(np.fromiter(map(plain.__getitem__, w), dtype=np.uint64, count=len(w)), len(w))
+                self.short.setdefault(len(w), {}).setdefault(int(whole[0]), []).append(item)
                 continue
             width = min(WINDOW, len(w))
             for at, h in windows(c, width):
@@ -143,6 +165,7 @@ class Index:
             self.ids.append(item)
             self.words.append(w)
             self.codes.append(c)
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         self.by_width = {}
         for width, parts in got.items():
             h = np.concatenate([p[0] for p in parts])
@@ -155,16 +178,55 @@ class Index:
         """Contaminating items of one document."""
         found: dict[int, set[tuple[int, int, int]]] = {}
         for width, (keys, item, spot, table) in self.by_width.items():
+            met = []
             for at, h in windows(code, width):
                 maybe = np.flatnonzero(table[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                if not len(maybe):
-                    continue
-                h, at = h[maybe], at[maybe]
-                left, right = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-                for a, z, p in zip(left.tolist(), right.tolist(), at.tolist(), strict=True):
-                    for k in range(a, z):
-                        found.setdefault(int(item[k]), set()).add((p - int(spot[k]), int(spot[k]), width))
-        return [m for i, hits in sorted(found.items()) if (m := self.judge(i, hits, words, code))]
+                left, right = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
+                some = right > left
+                met.append((at[maybe][some], left[some], right[some]))
+            at, left, right = (np.concatenate([m[c] for m in met]) if met else np.empty(0, np.int64) for c in range(3))
+            if not len(at):
+                continue
+            first = np.unique(left, return_index=True)[1]
+            entries = self.hopeful(ranges(left[first], right[first]), item, spot, width)
+            of: dict[int, list[int]] = {}
+            for begin, e in zip(left[first][np.searchsorted(left[first], entries, "right") - 1].tolist(), entries.tolist(), strict=True):
+                of.setdefault(begin, []).append(e)
+            for begin, p in zip(left.tolist(), at.tolist(), strict=True):
+                for e in of.get(begin, ()):
+                    found.setdefault(int(item[e]), set()).add((p - int(spot[e]), int(spot[e]), width))
+        return [m for i, hits in sorted(found.items()) if (m := self.judge(i, hits, words, code))] + self.verbatim(words)
+
+    def hopeful(self, entries: np.ndarray, item: np.ndarray, spot: np.ndarray, width: int) -> np.ndarray:
+        """Those entries whose items could reach a limit if all their windows held."""
+        order = np.lexsort((spot[entries], item[entries]))
+        i, s = item[entries][order], spot[entries][order]
+        new = np.concatenate(([True], i[1:] != i[:-1]))
+        step = np.append(np.where(new[1:], width, np.minimum(width, s[1:] - s[:-1])), width)
+        covered = np.add.reduceat(step, np.flatnonzero(new))
+        own = i[new]
+        good = (covered >= COVER * self.size[own]) | (covered >= RUN)
+        return np.sort(entries[order][np.repeat(good, np.diff(np.append(np.flatnonzero(new), len(i))))])
+
+    def verbatim(self, words: list[bytes]) -> list[dict]:
+        """Items without a template whose very words the document holds."""
+        out: list[dict] = []
+        if not self.short or not words:
+            return out
+        plain = self.literals
+        code = np.fromiter(map(plain.__getitem__, words), dtype=np.uint64, count=len(words))
+        for n, items in sorted(self.short.items()):
+            if n > len(words) or (n < 3 and n != len(words)):
+                continue
+            seen: dict[int, list[int]] = {}
+            for at in np.flatnonzero(np.isin(h := hashes(code, n), np.fromiter(items, dtype=np.uint64, count=len(items)))).tolist():
+                seen.setdefault(int(h[at]), []).append(at)
+            out += [{"item": i, "share": 1.0, "run": n, "start": at[0], "end": at[-1] + n} for x, at in seen.items() for i in items[x]]
+        return out
+
+    @cached_property
+    def literals(self) -> Literals:
+        return Literals()
 
     def judge(self, i: int, hits: set[tuple[int, int, int]], words: list[bytes], code: np.ndarray) -> dict | None:
         """Slot consistency along each alignment, then coverage."""
@@ -192,31 +254,31 @@ class Index:
         return {"item": self.ids[i], "share": len(covered) / len(own), "run": best, "start": min(s for s, _ in spans), "end": max(e for _, e in spans)}
 
     def odd(self, i: int, shift: int, found: set[tuple[int, int]], words: list[bytes], code: np.ndarray) -> tuple[set[int], bool]:
-        """Places of an alignment's slots that conflict with its other slots, and whether two changed values became one.
+        """Places of an alignment's slots that conflict with its other slots, and whether two changed names became one.
 
         An unchanged value goes before a changed one, then the more frequent change, then the first.
         """
         own, own_code = self.words[i], self.codes[i]
         pairs: dict[tuple[bytes, bytes], list[int]] = {}
-        units = set()
+        free = set()
         for s in sorted({s for a, z in found for s in range(a, z)}):
             a, b = own[s].strip(EDGES).lower(), words[s + shift].strip(EDGES).lower()
             literal = not (own_code[s] & np.uint64(SLOT)) and (own_code[s] & ~FLAGS) == (code[s + shift] & ~FLAGS)
             if not literal:
                 pairs.setdefault((a, b), []).append(s)
-                if (own_code[s] & ~FLAGS) == np.uint64(UNIT):
-                    units.add((a, b))  # 'mile' and 'miles' may both become 'km'
+                if (own_code[s] & ~FLAGS) in VALUES:
+                    free.add((a, b))  # 12 and 5 may both become 40, 'mile' and 'miles' both 'km'
         there: dict[bytes, bytes] = {}
         back: dict[bytes, bytes] = {}
         odd: set[int] = set()
         merged = False
         for (a, b), at in sorted(pairs.items(), key=lambda x: (x[0][0] != x[0][1], -len(x[1]), x[1][0])):
-            if a in there or ((a, b) not in units and b in back):
+            if a in there or ((a, b) not in free and b in back):
                 odd.update(at)
                 merged |= a not in there and back[b] != b
             else:
                 there[a] = b
-                if (a, b) not in units:
+                if (a, b) not in free:
                     back[b] = a
         return odd, merged
 
@@ -255,7 +317,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                 rows: list[tuple[int, dict]] = []
                 for i, t in enumerate(strings(batch, "_text")):
                     words = t.encode("utf-8", "surrogatepass").split() if t else []
-                    if len(words) >= LITERALS:
+                    if words:
                         code = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
                         rows += [(i, m) for m in index.matches(words, code)]
                 if rows:
@@ -294,7 +356,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
                 for t in strings(batch, text):
                     words = t.encode("utf-8", "surrogatepass").split() if t else []
                     code = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-                    good.append(len(words) < LITERALS or not index.matches(words, code))
+                    good.append(not words or not index.matches(words, code))
                 yield batch.filter(pa.array(good, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize, ship
-from .common import slices, spread_out, strings
+from .common import ranges, slices, spread_out, strings
 
 BITS = 18
 FLOOR, ODDS, ERRORS = 0.05, 1.0, 2.0
@@ -154,12 +154,6 @@ def gains(labelled: DataFrame, n1: int, n0: int) -> dict[bytes, float]:
     return {bytes(r["term"]): r["gain"] for r in term_counts(labelled).select("term", gain.alias("gain")).where("gain > 0").orderBy("term").collect()}
 
 
-def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges, one after the other."""
-    size = end - start
-    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
-
-
 class BlockMaxIndex:
     """Postings by term and block of examples. ``entry`` is a (term, block) with its postings and their greatest weight.
 

@@ -701,7 +701,7 @@ ITEM = "Mary has 12 apples and gives 5 apples to Tom before walking 3 miles to t
         (ITEM.upper(), True),
         (ITEM.lower(), True),
         (ITEM.replace("12", "40").replace("5", "7").replace("3", "11").replace("Tom", "Jim"), True),
-        (ITEM.replace("12", "40").replace("5", "40"), False),  # two values became one
+        (ITEM.replace("12", "40").replace("5", "40"), True),  # two numbers became one
         ("an unrelated text of some words that is long enough to hold a window or two of them", False),
         (" ".join(ITEM.split()[:8]), False),  # too little of the item
         ("", False),
@@ -737,11 +737,49 @@ def test_conflicting_slots_cost_their_windows_only():
     merged = "He took 5 pears and 3 plums from the basket on the table, " + tail
     got = leaks(merged, merged.replace("5", "4").replace("3", "4"))
     assert got and got[0]["run"] >= len(tail.split())
-    assert not leaks(ITEM, ITEM.replace("12", "40").replace("5", "40"))
+    assert leaks(ITEM, ITEM.replace("12", "40").replace("5", "40"))
     units = "From here it is 1 mile to the school, and from the school it is 7 miles to the old harbour"
     assert leaks(units, units.replace("mile ", "km ").replace("miles", "km").replace("7", "9"))
 
 
+def test_short_items_match_word_for_word():
+    assert leaks("Compute 17 * 23.", "Compute 17 * 23.") and leaks("Compute 17 * 23.", "please compute 17 * 23 now")
+    assert not leaks("Compute 17 * 23.", "Compute 18 * 23.") and not leaks("Compute 17 * 23.", "Compute 17")
+    assert leaks("Paris", "paris!") and not leaks("Paris", "He went to Paris.") and not leaks("", "x") and not leaks("Paris", "")
+    got = leaks("4 + 4", "so 4 + 4 is eight and 4 + 4 again")
+    assert [(m["start"], m["end"], m["run"], m["share"]) for m in got] == [(1, 10, 3, 1.0)]
+
+
+def test_drawn_templates():
+    """Questions written from templates: asked again with other values they are found, with mixed-up values not."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("bcdfgklmnprst", k=rng.randint(4, 8)))
+    for _ in range(60):
+        plain = [word() for _ in range(14)]
+        values = rng.sample(range(2, 900), 6)
+        fill = lambda a, b, c: " ".join([*plain[:4], str(a), *plain[4:8], str(b), *plain[8:11], str(a), *plain[11:], str(c)])  # noqa: E731,B023
+        item = fill(*values[:3])
+        assert leaks(item, "intro words " + fill(*values[3:]) + " more text")
+        mixed = fill(*values[3:]).split()
+        mixed[4], mixed[13] = "1001", "1002"  # the repeated value differs: the windows of one of its places go
+        share = leaks(item, " ".join(mixed))
+        assert not share or share[0]["share"] < 1
+        assert not leaks(item, " ".join(word() for _ in range(30)))
+
+
+def test_hot_templates_are_bounded():
+    """Thousands of items share a template's start; only those that can reach a limit are aligned."""
+    start = "what is the sum of all whole numbers from 1 to"
+    items = [(i, f"{start} {i} if we " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(5000)]
+    index, code = decontam.Index(items), decontam.Codes()
+    looked: list[int] = []
+    judge = index.judge
+    index.judge = lambda i, *a: looked.append(i) or judge(i, *a)
+    w = f"{start} 99 or so {start} 7 and then {items[17][1]}".encode().split()
+    got = index.matches(w, np.fromiter(map(code.__getitem__, w), dtype=np.uint64, count=len(w)))
+    assert [m["item"] for m in got] == [17] and looked == [17]
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, queries.op9_decontamination(spark, DIR).collect()))
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 200)
