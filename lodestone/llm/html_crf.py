@@ -1,7 +1,9 @@
 """Main-text extraction from HTML: a linear-chain conditional random field over DOM leaf blocks.
 
 The page is cut by one pass over its tags into leaf blocks: text between block-level tags, with the
-ancestors that are open there (implied end tags close, raw-text elements are skipped). Each block has
+ancestors that are open there (implied end tags close; script, style, textarea and title are skipped as raw text). Buttons,
+lists of options, drawings, embedded objects and their like are blocks of their own if they hold text and nothing if they
+don't; one that is never closed is no element. Each block has
 binary features of its ancestors (tags, and words of their class, id and role) and of its text (length,
 link share, marks, place in the page). Two labels, main and other, form a chain; weights maximise the
 conditional likelihood (forward-backward, AdaGrad), and pages are decoded by Viterbi.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -33,13 +36,21 @@ from ..session import ship
 from .common import slices, strings
 
 # Kinds of HTML elements.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math annotation mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option button head canvas audio video noembed noframes".split())
+RAW = frozenset("script style textarea title".split())
+EMBEDDED = frozenset("audio button canvas datalist iframe map meter noembed noframes noscript object optgroup option picture progress select svg template video".split())
+NO_BLOCKS = frozenset("button optgroup option select svg".split())  # a block that starts inside ends them
 SAME_CLOSE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*)>", re.S)
+KNOWN = INLINE | VOID | RAW | EMBEDDED | PARAGRAPH_ENDS | frozenset("body html head li dt dd tr td th tbody thead tfoot caption colgroup legend summary search slot".split())
+
+NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 # Words of class, id and role names, by what they tell.
@@ -83,51 +94,107 @@ class Leaf:
         self.text, self.above, self.linked = text, above, linked
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, closing) of each tag in order; comments and declarations have no name.
+
+    A ``>`` in quotes ends no tag. Where a quote stays open the first ``>`` does; all such fruitless scans together read
+    at most ``8 * len(html)`` characters, so malformed pages take linear time. Without a further ``>`` the rest is text.
+    """
+    at, end, scans, gt = 0, len(html), 8 * len(html), -1
+    while (lt := html.find("<", at)) >= 0:
+        if html.startswith("<!--", lt):
+            close = html.find("-->", lt + 4)
+            at = close + 3 if close >= 0 else end
+            yield lt, at, "", "", False
+            continue
+        if gt < lt:
+            gt = html.find(">", lt)
+        if gt < 0:
+            return
+        if html[lt + 1] in "!?":
+            at = gt + 1
+            yield lt, at, "", "", False
+            continue
+        m = NAME.match(html, lt + 1)
+        if m is None:
+            at = lt + 1
+            continue
+        stop = gt + 1
+        if m.end() <= gt:
+            inner = html[m.end() : stop]
+            if ('"' in inner or "'" in inner) and not QUOTED.fullmatch(inner) and scans > 0:
+                q = QUOTED.match(html, m.end())
+                scans -= (q.end() if q else end) - stop
+                stop = q.end() if q else stop
+        at = stop
+        yield lt, stop, m[1].lower(), html[m.end() : stop - 1], html[lt + 1] == "/"
+
+
 def leaves(html: str | None) -> list[Leaf]:
     """Leaf blocks in page order."""
     if not html:
         return []
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = 0
+    lazy = -1  # the lowest embedded element on the stack that holds no text so far: what lies outside goes on around it
+    last_close: dict[str, int] = {}
+    headed = False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, lazy
         if parts:
             raw = "".join(parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
+            depth = lazy if lazy >= 0 else len(stack)
             if text:
-                out.append(Leaf(text, stack[-1][1] if stack else (), linked))
+                out.append(Leaf(text, stack[depth - 1][1] if depth else (), linked))
             parts.clear()
-        linked = 0
+        linked, lazy = 0, -1
 
-    at, end = 0, len(html)
-    find = TAG.search
-    while True:
-        m = find(html, at)
-        if m is None:
-            parts.append(html[at:])
-            break
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-            if links:
-                linked += m.start() - at
-        at = m.end()
-        name = m[2] or m[5]
+    def say(text: str) -> None:
+        nonlocal linked
+        if lazy >= 0 and not text.isspace():
+            flush()
+        parts.append(text)
+        if links:
+            linked += len(text)
+
+    def cut(i: int) -> None:
+        nonlocal lazy
+        for n, _ in stack[i:]:
+            opened[n] -= 1
+        del stack[i:]
+        lazy = lazy if lazy < i else -1
+
+    def closed_later(name: str, at: int) -> bool:
+        if name not in last_close:
+            last_close[name] = max((m.start() for m in re.finditer(f"</{name}\\b", html, re.I)), default=-1)
+        return last_close[name] >= at
+
+    at = 0
+    for start, stop, name, attrs, closing in tags(html):
+        if start < at:
+            continue  # inside raw text
+        if start > at:
+            say(html[at:start])
+        at = stop
         if not name:
             continue
-        name, attrs, closing = name.lower(), m[3] or m[6] or "", bool(m[1] or m[4])
         if name in RAW:
-            if not closing and name != "head" and not attrs.rstrip().endswith("/"):
-                if name not in INLINE:
-                    flush()
+            if not closing and not attrs.rstrip().endswith("/"):
+                flush()
                 close = re.compile(f"</{name}\\b[^>]*>?", re.I).search(html, at)
-                at = close.end() if close else end
-            elif name == "head" and not closing:
+                at = close.end() if close else len(html)
+            continue
+        if name == "head":
+            if not closing and not headed:
                 close = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(html, at)
                 if close:
                     at = close.start() if close[0][1] != "/" else close.end()
+            headed = True
             continue
         if name in INLINE:
             if name == "br":
@@ -135,34 +202,64 @@ def leaves(html: str | None) -> list[Leaf]:
             elif name == "a":
                 links = max(0, links - 1) if closing else links + 1
             continue
-        flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if not opened[name]:
+                if name not in EMBEDDED:
+                    flush()
+                continue
+            i = len(stack) - 1
+            while stack[i][0] != name:
+                i -= 1
+            if lazy < 0 or i < lazy:
+                flush()
+            cut(i)
             continue
-        if name in PARAGRAPH_ENDS and stack and stack[-1][0] == "p":
-            stack.pop()
-        elif name in SAME_CLOSE:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SAME_CLOSE[name]:
-                    break
-                if stack[i][0] == name or (name in ("dt", "dd") and stack[i][0] in ("dt", "dd")) or (name in ("td", "th") and stack[i][0] in ("td", "th")):
-                    del stack[i:]
-                    break
+        if name in EMBEDDED:
+            kept = opened["select"] or opened["datalist"] if name in ("option", "optgroup") else closed_later(name, at)
+            if attrs.rstrip().endswith("/") or not kept:
+                continue
+            if name == "button" and opened[name]:
+                flush()
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            elif lazy < 0 and stack and stack[-1][0] in EMBEDDED:
+                flush()
+            if lazy < 0:
+                lazy = len(stack)
+        else:
+            while (name in PARAGRAPH_ENDS or name in SAME_CLOSE) and stack and stack[-1][0] in NO_BLOCKS:
+                if lazy < 0:
+                    flush()
+                cut(len(stack) - 1)
+            if lazy < 0:
+                flush()
+            if name in PARAGRAPH_ENDS and stack and stack[-1][0] == "p":
+                cut(len(stack) - 1)  # at most an empty paragraph inside an embedded element
+        if name in SAME_CLOSE:
+            same = {"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else {name}
+            if any(opened[n] for n in same):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in SAME_CLOSE[name]:
+                        break
+                    if stack[i][0] in same:
+                        if lazy < 0 or i < lazy:
+                            flush()
+                        cut(i)
+                        break
+            if name in EMBEDDED and lazy < 0:
+                lazy = len(stack)
         if name in VOID or attrs.rstrip().endswith("/"):
             continue
         above = stack[-1][1] if stack else ()
-        fresh = [f"t:{name}", *(f"h:{h}" for h in sorted(hints(attrs)))]
+        fresh = [f"t:{name if name in KNOWN else 'other'}", *(f"h:{h}" for h in sorted(hints(attrs)))]
         stack.append((name, tuple(dict.fromkeys((*above, *fresh)))))
-        if name == "a":
-            links = 0
+        opened[name] += 1
+    if at < len(html):
+        say(html[at:])
     flush()
     return out
 
 
-BOILER = ("h:nav", "h:head", "h:foot", "h:side", "h:ad", "h:note", "h:talk", "h:share", "h:form", "h:hidden", "t:nav", "t:header", "t:footer", "t:aside", "t:form")
+BOILER = ("h:nav", "h:head", "h:foot", "h:side", "h:ad", "h:note", "h:talk", "h:share", "h:form", "h:hidden", "t:nav", "t:header", "t:footer", "t:aside", "t:form", *(f"t:{n}" for n in sorted(EMBEDDED)))
 
 
 @lru_cache(maxsize=4096)
@@ -344,6 +441,8 @@ def training_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
             lambda: boiler(["cookie-notice", "newsletter", "alert", "popup", "subscribe"], ["div", "section"], 1, 2),
             lambda: boiler(["search-form", "login"], ["form"], 1, 3),
             lambda: boiler(["share", "social", "post-tags"], ["div", "ul"], 1, 3),
+            lambda: boiler(["x", "y"], ["noscript", "object", "canvas", "video", "audio", "template", "iframe"], 1, 2),
+            lambda: block(f"<{(n := pick(['button', 'select', 'svg']))}>{phrase(1, 4)}</{n}>", 0, "div"),  # noqa: B023
         ]
         if rng.random() < 0.7:
             top = pick(["<header>", '<header class="site-header">', '<div id="header">'])
@@ -354,6 +453,12 @@ def training_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
             html.append("</header>" if top.startswith("<header") else "</div>")
         if rng.random() < 0.8:
             menu()
+        if rng.random() < 0.2:  # a menu that nothing names
+            outer, inner = pick([("<table><tr>", "td"), ("<div>", "span"), ("<div>", "div"), ("<ul>", "li")])
+            html.append(outer)
+            for _ in range(rng.randint(2, 6)):
+                block(link(), 0, "div" if inner == "span" else inner)
+            html.append("</tr></table>" if inner == "td" else "</ul>" if inner == "li" else "</div>")
         for e in extras:
             if rng.random() < 0.2:
                 e()
@@ -362,7 +467,7 @@ def training_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
         if rng.random() < 0.3:
             html.append(f"<div{attr(['ad', 'ads', 'advert'])}>{phrase(3, 20, True)}</div>")
             gold.append(0)
-        shell = pick(["<article>", "<article>", "<article>", "<main>", "<main><article>", '<div class="content">', '<div id="main-content">', '<div class="post-content">'])
+        shell = pick(["<article>", "<article>", "<article>", "<main>", "<main><article>", '<div class="content">', '<div id="main-content">', '<div class="post-content">', "<div>", "<section>"])
         html.append(shell)
         if rng.random() < 0.8:
             wrap = rng.random() < 0.15
@@ -403,7 +508,7 @@ def training_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
         if rng.random() < 0.2:
             comments()
         html.append("</article>" if "article" in shell else "")
-        html.append("</main>" if "main>" in shell else "</div>" if "<div" in shell else "")
+        html.append("</main>" if "main>" in shell else "</div>" if "<div" in shell else "</section>" if "<section" in shell else "")
         if rng.random() < 0.3:
             comments()
         for e in extras:

@@ -360,6 +360,49 @@ def test_quality_of_other_languages(spark):
     assert all(got[i]["word_js"] < 0.6 for i in range(120)) and got[120]["word_js"] is None
 
 
+def test_quality_verdicts_brute_force(spark, docs):
+    """Distances and verdict of every document against dictionaries: references and common words from the table itself."""
+
+    def kind(ch):
+        if ch.isascii():
+            return "lower" if ch.islower() else "upper" if ch.isupper() else "digit" if ch.isdigit() else "mark" if ch in ".,;:!?'\"()-" else "symbol" if ch in "#*$%&|<>" else "gap" if ch in WS else "other"
+        return "upper2" if ch.isupper() else "lower2" if ch.isalpha() and ord(ch) < 0x3000 else "other2"
+
+    def distance(p, q):
+        n, m = sum(p.values()), sum(q.values())
+        if not n:
+            return 1.0
+        total = 0.0
+        for x in p.keys() | q.keys():
+            a, b = p[x] / n, q[x] / max(m, 1)
+            mid = (a + b) / 2
+            total += (a * math.log2(a / mid) if a else 0) + (b * math.log2(b / mid) if b else 0)
+        return math.sqrt(min(1.0, max(0.0, total / 2)))
+
+    text = {i: t or "" for i, t in zip(docs.doc_id, docs.text)}
+    lang = dict(zip(docs.doc_id, docs.lang))
+    base = {i: slow_quality(t) for i, t in text.items()}
+    passing = [i for i, (n, _, _, _, rep) in base.items() if n >= 50 and 100 * rep <= 50 * n]
+    words = {i: Counter(split(t.lower())) for i, t in text.items()}
+    chars = {i: Counter(map(kind, t)) for i, t in text.items()}
+    langs = {lang[i] for i in passing if lang[i] is not None}
+    counts = {g: sum((words[i] for i in passing if lang[i] == g), Counter()) for g in langs}
+    common = {w for g in langs for w, _ in sorted(counts[g].items(), key=lambda x: (-x[1], x[0].encode()))[:100]}
+    word_ref = {g: Counter({w: n for w, n in counts[g].items() if w in common}) for g in langs}
+    char_ref = {g: sum((chars[i] for i in passing if lang[i] == g), Counter()) for g in langs}
+    thin = {g for g in langs if sum(word_ref[g].values()) < 1000}
+    for r in queries.op4_quality_rules(spark, DIR).collect():
+        i = r["doc_id"]
+        own = Counter({w: n for w, n in words[i].items() if w in common})
+        hits = sum(own.values())
+        dc = min(distance(chars[i], q) for q in char_ref.values()) if len(text[i]) >= 200 else None
+        dw = min(distance(own, word_ref[g]) for g in langs - thin) if hits >= 20 and langs - thin and lang[i] not in thin else None
+        assert r["char_js"] == (dc if dc is None else pytest.approx(dc, abs=1e-6)), i
+        assert r["word_js"] == (dw if dw is None else pytest.approx(dw, abs=1e-6)), i
+        bad = (dc is not None and dc > 0.3) or (dw is not None and dw > 0.5 + 2 / math.sqrt(hits))
+        assert r["kept"] == (i in passing and not bad)
+
+
 def test_js_distance():
     p, q = np.array([[1.0, 1.0, 0.0]]), np.array([[0.0, 1.0, 1.0]])
     assert quality.js_distance(p, q)[0] == pytest.approx(math.sqrt(0.5))
@@ -509,6 +552,56 @@ def test_html_table(spark):
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
 
 
+@pytest.mark.parametrize("name", ["button", "object", "svg", "canvas", "select", "noscript", "template", "video"])
+def test_unclosed_elements_lose_nothing(name):
+    page = f"<article><h1>A title</h1><p>First paragraph, long enough to read.</p><{name} class=x><p>Second paragraph, as long as it.</p><p>Third one, the last.</p></article><p>{'' if name != 'button' else ''}</p>"
+    got = [t for t, y in html_crf.extract(page, html_crf.trained()) if y]
+    assert got == ["A title", "First paragraph, long enough to read.", "Second paragraph, as long as it.", "Third one, the last."]
+
+
+def test_embedded_elements():
+    said = lambda h: [b.text for b in html_crf.leaves(h)]
+    assert said("<p>See <math><mi>x</mi> <mo>=</mo> 1</math> for it.</p>") == ["See x = 1 for it."]
+    assert said("<p>Icons <svg viewBox='0 0 9 9'><path d='M0'/><g><path/></g></svg>split nothing <canvas></canvas>here</p>") == ["Icons split nothing here"]
+    assert said("<p>Read <button>Share</button> on</p>") == ["Read", "Share", "on"]
+    assert said("<button>One<p>Two</p></button>Three") == ["One", "Two", "Three"]
+    assert said("<select><option>a<option>b</select>c") == ["a", "b", "c"]
+    assert said("<p title='a > b'>x</p><p title=\"un>closed>y</p><i x='>'>z") == ["x", "closed>y", "z"]
+    assert said("a <b c") == ["a <b c"] and said("1 < 2 <p>3") == ["1 < 2", "3"] and said("<") == ["<"]
+    assert said("<script>if (a<b) '<p>'</script><p>t<textarea><p>no</textarea>") == ["t"]
+    chain = html_crf.trained()
+    page = "<article><p>Some words of an article that are long enough.</p><p><button>Share</button></p><noscript><p>Turn on scripts</p></noscript><select><option>One<option>Two</select><p>More words of it, the end.</p></article>"
+    assert [t for t, y in html_crf.extract(page, chain) if y] == ["Some words of an article that are long enough.", "More words of it, the end."]
+
+
+def test_other_layouts():
+    """Pages that the generator of training pages doesn't write: no article, main or named container."""
+    prose = ["The old mill stood by the river for three hundred years before the flood of that spring.", "Nobody in the village remembers who built it, but all of them remember who owned it last.", "It was sold twice, and both times the new owner left within the year."]
+    text = "".join(f"<p>{p}</p>" for p in prose)
+    pages = [
+        f"<html><body><table><tr><td><a href=/>Home</a></td><td><a href=/a>News</a></td></tr></table><table><tr><td><h1>The mill</h1>{text}</td></tr></table><div class=footer>Copyright by us</div></body></html>",
+        f"<body><nav><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></nav><section><h1>The mill</h1>{text}</section><aside><h3>Related</h3><a href=/x>Other mills</a></aside><footer>&copy; us</footer>",
+        f"<div id=header><a href=/>Site</a></div><div id=page><div id=col1><h1>The mill</h1>{text}</div><div id=sidebar><a href=/1>One</a> <a href=/2>Two</a></div></div><div class='cookie-notice'>We use cookies.</div>",
+    ]
+    for page in pages:
+        got = [t for t, y in html_crf.extract(page, html_crf.trained()) if y]
+        assert [t for t in got if t in prose] == prose
+        assert not {"Home", "News", "Blog", "Site", "Other mills", "We use cookies.", "Copyright by us", "© us"} & set(got)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"' >", "<", "<div>", "</x>", "<button>", "<li>", "<x1>", "<head>", "<!--", "<p a='", "<svg>t", "&amp;", "<td><dd>"])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_crf.extract(piece * (n // len(piece)) + "</button></svg>", html_crf.trained())
+        return time.process_time() - began
+
+    took(1000)
+    assert took(800_000) < 12 * took(200_000) + 0.5
+
+
 def test_html_edges(spark):
     p = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>a<p>b & c &amp; d<br>e"), (4, "u", "<!-- x"), (5, "u", "<article><p>Kept text of a page, long enough.</p><aside class=ad><p>Buy</p></aside><section id=comments><p>First!</p></section></article>")], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_crf.main_text(p.withColumn("text", F.lit("clash"))).collect()}
