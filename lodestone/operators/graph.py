@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -124,29 +124,44 @@ def edge_dwpc(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.round(F.sum(F.col("w") / (F.sqrt(F.col("degree") * F.col("dv")) + 1e-9)), 6).alias("score"))
 
 
-def path_dwpc(edges: DataFrame, most: int = 3, damping: float = 0.4) -> DataFrame:
-    """Simple paths of up to ``most`` edges between ``a < b``, each worth the product of its nodes' degrees to ``-damping``."""
-    deg = degrees(edges).select(F.col("u").alias("_n"), F.col("degree").cast("double").alias("_d"))
-    step = materialize(both_ways(edges).select("u", F.col("v").alias("next")).join(deg, F.col("next") == F.col("_n")).select("u", "next", F.pow("_d", F.lit(-damping)).alias("_w")), "steps")
-    ends = step.select(F.col("next").alias("a"), F.col("_w").alias("s")).distinct()
-    paths = ends.select("a", F.col("a").alias("b"), F.array("a").alias("seen"), "s")
-    total = None
-    for _ in range(most):
+def path_dwpc(edges: DataFrame, most: int = 4, damping: float = 0.4) -> DataFrame:
+    """Simple paths of up to ``most`` edges between ``a < b``, each worth the product of its inner nodes' degrees to ``-damping``."""
+    worth = degrees(edges).select("u", F.pow(F.col("degree").cast("double"), F.lit(-damping)).alias("_w"))
+    step = materialize(both_ways(edges).select("u", F.col("v").alias("next")).join(worth, "u"), "steps")
+    paths = step.select(F.col("u").alias("a"), F.col("next").alias("b"), F.array("u", "next").alias("seen"), F.lit(1.0).alias("s"))
+    total = paths.where("a < b").select("a", "b", "s")
+    for _ in range(most - 1):
         on = paths.join(step, paths["b"] == step["u"]).where(~F.array_contains("seen", F.col("next")))
         paths = on.select("a", F.col("next").alias("b"), F.concat("seen", F.array("next")).alias("seen"), (F.col("s") * F.col("_w")).alias("s"))
-        part = paths.where("a < b").select("a", "b", "s")
-        total = part if total is None else total.union(part)
+        total = total.union(paths.where("a < b").select("a", "b", "s"))
     return total.groupBy("a", "b").agg(F.round(F.sum("s"), 6).alias("dwpc"))
 
 
 def prerequisites(deps: DataFrame, most: int) -> DataFrame:
-    """Transitive dependencies of a table ``(id, dep)``: ``(id, dep, depth)`` up to ``most`` steps."""
-    front = deps.select("id", "dep", F.lit(1).alias("depth"))
-    out = front
+    """Transitive dependencies of a table ``(id, dep)``: ``(id, dep, depth)`` with the least depth of up to ``most`` steps."""
+    direct = deps.select("id", "dep").distinct()
+    seen = front = direct.withColumn("depth", F.lit(1))
     for k in range(2, most + 1):
-        front = front.select("id", F.col("dep").alias("_at")).join(deps.select(F.col("id").alias("_at"), "dep"), "_at").select("id", "dep", F.lit(k).alias("depth"))
-        out = out.union(front)
-    return out
+        step = front.select("id", F.col("dep").alias("_at")).join(direct.select(F.col("id").alias("_at"), "dep"), "_at").select("id", "dep").distinct()
+        seen = materialize(seen.unionByName(step.join(seen, ["id", "dep"], "left_anti").withColumn("depth", F.lit(k))), "prerequisites")
+        front = seen.where(F.col("depth") == k)
+    return seen
+
+
+def next_steps(deps: DataFrame, done: DataFrame) -> DataFrame:
+    """Ids outside ``done`` (column ``id``) whose dependencies are all done; those without any are no steps."""
+    marked = deps.join(done.select(F.col("id").alias("dep"), F.lit(1).alias("_ok")), "dep", "left")
+    return marked.groupBy("id").agg(F.count_if(F.col("_ok").isNull()).alias("_open")).where("_open = 0").select("id").join(done.select("id"), "id", "left_anti")
+
+
+def alternative_paths(deps: DataFrame, most: int) -> DataFrame:
+    """Pairs ``(id, dep, paths)`` that more than one path of up to ``most`` steps connects (a graph without cycles)."""
+    front = total = deps.select("id", "dep").distinct().withColumn("n", F.lit(1).cast("long"))
+    step = front.select(F.col("id").alias("_at"), F.col("dep").alias("_to"))
+    for _ in range(most - 1):
+        front = materialize(front.join(step, F.col("dep") == F.col("_at")).groupBy("id", F.col("_to").alias("dep")).agg(F.sum("n").alias("n")), "paths")
+        total = total.unionByName(front)
+    return total.groupBy("id", "dep").agg(F.sum("n").alias("paths")).where("paths > 1")
 
 
 def hops(starts: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
@@ -242,37 +257,101 @@ def singleton_homes(pairs: DataFrame, partition: DataFrame, tau: float) -> DataF
 
 
 def greedy_chains(edges: DataFrame, component: DataFrame, tau: float = 0.30) -> DataFrame:
-    """Nearest-neighbour chains: edges by descending weight join chain ends; ``(id, chain, place)``.
+    """Nearest-neighbour chains: ``(id, chain, place)`` for every row of ``component`` (``id, component``).
 
-    Chains never leave a component, so each component is folded by a task of its own.
+    Edges of ``tau`` or more are taken by descending weight, then by descending ends. One between two nodes without a chain
+    starts a chain; one from the end of a chain to a node without a chain lengthens it; any other is passed over, so
+    chains never merge. Nodes left over are chains of one. A chain is named by its least id. Chains never leave a
+    component, so each component is folded by a task of its own.
     """
     kept = edges.where(F.col("w") >= tau)
     grouped = kept.join(component.select(F.col("id").alias("a"), "component"), "a")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        links: dict[int, list[int]] = defaultdict(list)
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
+        ends: dict[int, deque[int]] = {}  # the chain at whose end a node is
+        taken: set[int] = set()
+        chains: list[deque[int]] = []
         for r in frame.sort_values(["w", "a", "b"], ascending=False).itertuples():
-            if len(links[r.a]) < 2 and len(links[r.b]) < 2 and find(r.a) != find(r.b):
-                links[r.a].append(r.b)
-                links[r.b].append(r.a)
-                root[find(r.a)] = find(r.b)
-        rows, done = [], set()
-        for s in sorted(x for x in links if len(links[x]) <= 1):
-            if s in done:
-                continue
-            chain, at, last = [], s, None
-            while at is not None:
-                chain.append(at)
-                done.add(at)
-                at, last = next((x for x in links[at] if x != last), None), at
-            rows += [(x, min(chain), i) for i, x in enumerate(chain)]
+            fresh = [x for x in (r.a, r.b) if x not in taken]
+            if len(fresh) == 2:
+                chains.append(deque(fresh))
+                ends.update(dict.fromkeys(fresh, chains[-1]))
+                taken.update(fresh)
+            elif fresh:
+                at = r.b if fresh[0] == r.a else r.a
+                chain = ends.pop(at, None)
+                if chain is None:
+                    continue
+                if chain[-1] == at:
+                    chain.append(fresh[0])
+                else:
+                    chain.appendleft(fresh[0])
+                ends[fresh[0]] = chain
+                taken.add(fresh[0])
+        rows = [(x, min(c), i) for c in chains for i, x in enumerate(c)]
         return pd.DataFrame(rows, columns=["id", "chain", "place"]).astype("int64")
 
-    return grouped.groupBy("component").applyInPandas(fold, "id long, chain long, place long")
+    linked = materialize(grouped.groupBy("component").applyInPandas(fold, "id long, chain long, place long"), "chains")
+    alone = component.select(F.col("id").cast("long").alias("id")).join(linked, "id", "left_anti")
+    return linked.unionByName(alone.select("id", F.col("id").alias("chain"), F.lit(0).cast("long").alias("place")))
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 4, connected: bool = False) -> DataFrame:
+    """Communities of high modularity by levels of local moves: ``(id, community)``, named by their least id.
+
+    In a round first one half of the nodes, by a hash, then the other may move to the neighbouring community of greatest
+    gain, each half at once; a round that doesn't raise modularity is undone and ends the level. Communities then become
+    nodes. With ``connected`` (the guarantee of Leiden) each community is first cut into its connected parts.
+    Every round is a written table; the driver holds a handful of numbers.
+    """
+    from pyspark.sql import Window
+
+    member = nodes.select("id", F.col("id").alias("node"))
+    graph = materialize(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "level")
+    m = graph.agg(F.sum("w")).first()[0]
+    if not m:
+        return member.select("id", F.col("node").alias("community"))
+
+    def quality(part: DataFrame, strength: DataFrame) -> float:
+        named = part.select("node", "c")
+        ends = graph.join(named.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(named.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+        total = strength.join(named, "node").groupBy("c").agg(F.sum("k").alias("d"))
+        both = ends.where("ca = cb").select("w", F.lit(0.0).alias("d")).union(total.select(F.lit(0.0), "d"))
+        got = both.agg(F.sum("w").alias("w"), F.sum(F.col("d") * F.col("d")).alias("d")).first()
+        return got["w"] / m - resolution * got["d"] / (4 * m * m)
+
+    for _ in range(levels):
+        loops = graph.where("a = b")
+        two = graph.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("v"), "w").union(graph.where("a <> b").select("b", "a", "w"))
+        strength = materialize(two.select("node", "w").union(loops.select(F.col("a"), F.col("w") * 2)).groupBy("node").agg(F.sum("w").alias("k")), "strength")
+        part = materialize(strength.select("node", F.col("node").alias("c")), "part")
+        best, moved, fresh = quality(part, strength), False, part
+        for r in range(2 * rounds):
+            d = strength.join(fresh, "node").groupBy("c").agg(F.sum("k").alias("d"))
+            near = two.join(fresh.select(F.col("node").alias("v"), "c"), "v").groupBy("node", "c").agg(F.sum("w").alias("w"))
+            own = strength.join(fresh, "node").select("node", "k", F.col("c").alias("own"))
+            seen = near.unionByName(own.select("node", F.col("own").alias("c"), F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
+            rest = F.col("d") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("w") - resolution * F.col("k") * rest / (2 * m), 9)
+            ranked = seen.join(own, "node").join(d, "c").withColumn("gain", gain)
+            first = ranked.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), F.when(F.col("c") == F.col("own"), 0).otherwise(1), "c"))).where("n = 1")
+            may = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+            fresh = materialize(first.select("node", F.when(may, F.col("c")).otherwise(F.col("own")).alias("c")), "part")
+            if r % 2:
+                q = quality(fresh, strength)
+                if q <= best + 1e-6:
+                    break
+                part, best, moved = fresh, q, True
+        if not moved:
+            break
+        if connected:
+            named = part.select("node", "c")
+            same = graph.join(named.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(named.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb AND a <> b")
+            part = components(part, same.select("a", "b"), "node").select("node", F.col("component").alias("c"))
+        least = part.join(part.groupBy("c").agg(F.min("node").alias("name")), "c").select("node", F.col("name").alias("c"))
+        part = materialize(least, "part")
+        member = materialize(member.join(part, "node", "left").select("id", F.coalesce("c", "node").alias("node")), "member")
+        ends = graph.join(part.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(part.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+        graph = materialize(ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")), "level")
+    names = member.groupBy("node").agg(F.min("id").alias("community"))
+    return member.join(names, "node").select("id", "community")

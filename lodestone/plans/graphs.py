@@ -139,6 +139,17 @@ def label_communities(spark, sf):
     return g.label_propagation(_nodes(spark, sf), _edges(spark, sf), rounds=6)
 
 
+@query("louvain_communities", None)
+def louvain_communities(spark, sf):
+    return g.louvain(_nodes(spark, sf), _edges(spark, sf))
+
+
+@query("leiden_communities", None)
+def leiden_communities(spark, sf):
+    """Louvain's moves with connected communities, resolution 1."""
+    return g.louvain(_nodes(spark, sf), _edges(spark, sf), connected=True)
+
+
 @query("greedy_chains", None)
 def greedy_chains(spark, sf):
     e = _edges(spark, sf, 0.3)

@@ -12,19 +12,28 @@ from .registry import query
 
 @query(
     "boilerplate_stripped",
-    r"""SELECT doc_id, length(t) AS n, md5(t) AS h FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)\A---\n.*?\n---\n', '', 'g'), '(?m)^#{1,6}\s+.*$', '', 'g'), '(?m)^\|.*\|\s*$', '', 'g'), '(?s)```.*?```', '', 'g'), '(?m)^\s*[-*]\s+\*\*.*?\*\*:?\s*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g') AS t FROM documents)""",
+    r"""WITH t AS (SELECT doc_id, '---' || source || '--- ' || text || chr(10) || '- **a** prose in between **b**' || chr(10) || '-**' || lang || '**' || chr(10) || '- **' || lang || '**:' || chr(10) || '|a|' || chr(10) || '|b| ' || chr(10) || '# x' AS t FROM documents),
+s1 AS (SELECT doc_id, regexp_replace(t, '(?s)\A---.*?---\s*', '') AS t FROM t), s2 AS (SELECT doc_id, regexp_replace(t, '(?m)^#{1,6}\s+.*$', '', 'g') AS t FROM s1),
+s3 AS (SELECT doc_id, regexp_replace(t, '(?m)^\|.*\|$', '', 'g') AS t FROM s2), s4 AS (SELECT doc_id, regexp_replace(t, '(?s)```.*?```', '', 'g') AS t FROM s3),
+s5 AS (SELECT doc_id, regexp_replace(t, '(?m)^\s*[-*]\s*\*\*[^*]+\*\*\s*$', '', 'g') AS t FROM s4), s6 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g') AS t FROM s5)
+SELECT doc_id, length(t) AS n, md5(t) AS h FROM s6""",
 )
 def boilerplate_stripped(spark, sf):
-    t = tx.strip_boilerplate(F.col("text"))
+    """Texts between front matter and lines that look like boilerplate; some of them are prose and stay."""
+    tail = ["\n- **a** prose in between **b**\n-**", "lang", "**\n- **", "lang", "**:\n|a|\n|b| \n# x"]
+    text = F.concat(F.lit("---"), "source", F.lit("--- "), "text", *[F.col(x) if x == "lang" else F.lit(x) for x in tail])
+    t = tx.strip_boilerplate(text)
     return table(spark, sf, "documents").select("doc_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("h"))
 
 
 @query(
     "phrase_normalized",
-    r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower('[[' || p_name || ']] `' || p_brand || '` *' || p_type || '*'), '\[\[([^\]]*)\]\]', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '`([^`]*)`', '\1', 'g'), '[_*#>\-•]+', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM part""",
+    r"""WITH t AS (SELECT p_partkey, lower('[[' || p_name || ']] `' || p_brand || '` *' || p_type || '* [x](y) [x]() `` [[]]') AS t FROM part),
+u AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(t, '\[\[([^\]]+)\]\]', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`([^`]+)`', '\1', 'g') AS t FROM t)
+SELECT p_partkey, trim(regexp_replace(regexp_replace(t, '[_*#>\-•]+', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM u""",
 )
 def phrase_normalized(spark, sf):
-    p = F.concat(F.lit("[["), "p_name", F.lit("]] `"), "p_brand", F.lit("` *"), "p_type", F.lit("*"))
+    p = F.concat(F.lit("[["), "p_name", F.lit("]] `"), "p_brand", F.lit("` *"), "p_type", F.lit("* [x](y) [x]() `` [[]]"))
     return table(spark, sf, "part").select("p_partkey", tx.normalize_phrase(p).alias("phrase"))
 
 

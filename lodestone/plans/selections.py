@@ -119,24 +119,51 @@ def community_rerank(spark, sf):
 
 @query(
     "path_dwpc",
-    f"""WITH {EDGES.replace(str(TAU), '0.38')}, q1 AS (SELECT x.u AS a, x.v AS m, y.v AS b FROM two x JOIN two y ON x.v = y.u WHERE y.v <> x.u),
-q2 AS (SELECT a, m, b AS n, z.v AS b FROM q1 JOIN two z ON q1.b = z.u WHERE z.v <> a AND z.v <> m),
-t AS (SELECT two.p AS a, two.q AS b, pow(x.degree * y.degree, -0.4) AS s FROM (SELECT a AS p, b AS q FROM e) two JOIN deg x ON two.p = x.u JOIN deg y ON two.q = y.u
-UNION ALL SELECT a, b, pow(x.degree * z.degree * y.degree, -0.4) FROM q1 JOIN deg x ON a = x.u JOIN deg z ON m = z.u JOIN deg y ON b = y.u WHERE a < b
-UNION ALL SELECT a, b, pow(x.degree * z.degree * k.degree * y.degree, -0.4) FROM q2 JOIN deg x ON a = x.u JOIN deg z ON m = z.u JOIN deg k ON n = k.u JOIN deg y ON b = y.u WHERE a < b)
+    f"""WITH {EDGES.replace(str(TAU), '0.3')}, d AS (SELECT u, pow(degree, -0.4) AS w FROM deg),
+q1 AS (SELECT x.u AS a, x.v AS m, y.v AS b, d.w AS s FROM two x JOIN two y ON x.v = y.u JOIN d ON d.u = x.v WHERE y.v <> x.u),
+q2 AS (SELECT a, m, q1.b AS n, z.v AS b, s * d.w AS s FROM q1 JOIN two z ON q1.b = z.u JOIN d ON d.u = q1.b WHERE z.v <> a AND z.v <> m),
+q3 AS (SELECT a, z.v AS b, s * d.w AS s FROM q2 JOIN two z ON q2.b = z.u JOIN d ON d.u = q2.b WHERE z.v <> a AND z.v <> m AND z.v <> n),
+t AS (SELECT a, b, 1.0 AS s FROM e UNION ALL SELECT a, b, s FROM q1 WHERE a < b UNION ALL SELECT a, b, s FROM q2 WHERE a < b UNION ALL SELECT a, b, s FROM q3 WHERE a < b)
 SELECT a, b, round(sum(s), 6) AS dwpc FROM t GROUP BY 1, 2""",
 )
 def path_dwpc(spark, sf):
-    """Simple paths of up to three edges, each worth the product of its nodes' degrees to the power -0.4."""
-    return g.path_dwpc(_edges(spark, sf, 0.38), 3)
+    """Simple paths of up to four edges, each worth the product of its inner nodes' degrees to the power -0.4."""
+    return g.path_dwpc(_edges(spark, sf, 0.3))
 
 
-@query("prerequisites", "WITH RECURSIVE t AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dep FROM orders), r AS (SELECT id, dep, 1 AS depth FROM t WHERE dep IS NOT NULL UNION ALL SELECT r.id, t.dep, depth + 1 FROM r JOIN t ON r.dep = t.id WHERE t.dep IS NOT NULL AND depth < 3) SELECT id, dep, depth FROM r")
+DEPS = "t AS (SELECT o_orderkey AS id, dep FROM (SELECT o_orderkey, unnest([lag(o_orderkey) OVER w, lag(o_orderkey, 2) OVER w]) AS dep FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE dep IS NOT NULL)"
+
+
+def _deps(spark, sf):
+    """Each order depends on the customer's order before it and on the one before that."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    both = F.array(F.lag("o_orderkey").over(w), F.lag("o_orderkey", 2).over(w))
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), both.alias("d")).select("id", F.explode("d").alias("dep")).where("dep IS NOT NULL")
+    return materialize(t, "deps")
+
+
+@query("prerequisites", f"WITH RECURSIVE {DEPS}, r AS (SELECT id, dep, 1 AS depth FROM t UNION ALL SELECT r.id, t.dep, depth + 1 FROM r JOIN t ON r.dep = t.id WHERE depth < 3) SELECT id, dep, min(depth) AS depth FROM r GROUP BY 1, 2")
 def prerequisites(spark, sf):
     """All prerequisites of each order up to three steps back."""
-    o = table(spark, sf, "orders")
-    t = o.select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("dep")).where("dep IS NOT NULL")
-    return g.prerequisites(materialize(t, "deps"), 3)
+    return g.prerequisites(_deps(spark, sf), 3)
+
+
+@query("next_steps", f"WITH {DEPS}, done AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F') SELECT id FROM t GROUP BY id HAVING count(*) FILTER (dep NOT IN (SELECT id FROM done)) = 0 AND id NOT IN (SELECT id FROM done)")
+def next_steps(spark, sf):
+    """Orders that are not done but whose prerequisites are."""
+    return g.next_steps(_deps(spark, sf), table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")))
+
+
+@query("alternative_paths", f"WITH {DEPS}, p2 AS (SELECT x.id, y.dep FROM t x JOIN t y ON x.dep = y.id), p3 AS (SELECT p2.id, y.dep FROM p2 JOIN t y ON p2.dep = y.id) SELECT id, dep, count(*) AS paths FROM (SELECT * FROM t UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY 1, 2 HAVING count(*) > 1")
+def alternative_paths(spark, sf):
+    """Pairs of orders that several dependency paths of up to three steps connect."""
+    return g.alternative_paths(_deps(spark, sf), 3)
+
+
+@query("significance_threshold_fdr", None)
+def significance_threshold_fdr(spark, sf):
+    """Least significant cosine, Benjamini-Hochberg."""
+    return latent.significance_threshold(sim.dense_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding"), method="fdr")
 
 
 @query("significance_threshold", None)
@@ -161,13 +188,13 @@ def latent_projection(spark, sf):
 
 @query("frequent_sequences", None)
 def frequent_sequences(spark, sf):
-    """Event patterns found with at least 60 % of users, by PrefixSpan."""
+    """Event patterns of up to three items (the query's feature) found with at least 60 % of users, by PrefixSpan."""
     from pyspark.ml.fpm import PrefixSpan
 
     e = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.array_sort(F.collect_set("event_type")).alias("s"))
     seq = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda x: x.s).alias("sequence"))
     found = PrefixSpan(minSupport=0.6, maxPatternLength=3, maxLocalProjDBSize=32_000_000).findFrequentSequentialPatterns(seq)
-    return found.select(F.to_json("sequence").alias("pattern"), "freq")
+    return found.select(F.to_json(F.transform("sequence", lambda items: F.array_sort(items))).alias("pattern"), "freq")
 
 
 @query("patience", "WITH x AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, coalesce(min(CASE WHEN NOT bad THEN k END), max(k) + 1) - 1 AS n FROM x GROUP BY 1")
@@ -203,7 +230,7 @@ def tier_quotas(spark, sf):
 
     t = n.withColumn("y", yeo_johnson(F.col("n"), float(lam)))
     m = t.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"))
-    quota = F.when(F.col("y") < F.col("m") - F.col("s"), 5).when(F.col("y") <= F.col("m") + F.col("s"), 8).otherwise(13)
+    quota = F.when(F.col("y") < F.col("m") - F.col("s") - 1e-9, 5).when(F.col("y") <= F.col("m") + F.col("s") + 1e-9, 8).otherwise(13)
     quotas = t.crossJoin(F.broadcast(m)).select("source", quota.alias("quota"))  # one row
     return sampling.stratified(d.select("doc_id", "source"), quotas, "source", "doc_id").select("doc_id", "source")
 

@@ -24,14 +24,25 @@ def write_snapshot(df: DataFrame, path: str) -> str:
 
 
 def _swap(df: DataFrame, path: str) -> str:
+    """Writes beside the table, moves the old one aside, the new one in, and only then deletes the old one.
+
+    If a step fails, the old table is moved back. Between the two moves, which are renames, readers see none.
+    """
     spark = df.sparkSession
-    fresh = f"{path}-{uuid.uuid4().hex}"
+    fresh, aside = f"{path}-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    new, at, back = (jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path, aside))
+    fs = at.getFileSystem(conf)
+    held = fs.exists(at)
+    if held and not fs.rename(at, back):
+        raise OSError(f"{path} can't be moved; the new table is at {fresh}")
+    if not fs.rename(new, at):
+        if held:
+            fs.rename(back, at)
+        raise OSError(f"{fresh} can't be moved to {path}")
+    if held:
+        fs.delete(back, True)
     return path
 
 
@@ -51,11 +62,18 @@ def json_report(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def nested_report(df: DataFrame, by: list[str]) -> DataFrame:
+    """One JSON text for each group, with the other columns of its rows listed in order: ``(by..., json)``."""
+    inner = F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c not in by])))
+    return df.groupBy(*by).agg(inner.alias("rows")).select(*by, F.to_json(F.struct(*by, "rows")).alias("json"))
+
+
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A small result as a Markdown table (a report of at most ``limit`` rows)."""
-    rows = df.limit(limit).collect()
+    """A Markdown table of at most ``limit`` rows; a last line says how many were left out."""
+    rows = df.limit(limit + 1).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join(str(v) for v in r) + " |" for r in rows)])
+    more = [f"\n{df.count() - limit} more rows"] if len(rows) > limit else []
+    return "\n".join([head, *("| " + " | ".join(str(v) for v in r) + " |" for r in rows[:limit]), *more])
 
 
 def mermaid(edges: DataFrame, limit: int = 60) -> str:

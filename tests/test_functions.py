@@ -91,7 +91,7 @@ def test_chains_cover_each_node_once(spark):
     e = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (1, 3, 0.7), (4, 5, 0.35), (5, 6, 0.2)], "a long, b long, w double")
     nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "id long")
     rows = graph.greedy_chains(e, graph.components(nodes, e)).collect()
-    assert sorted(r["id"] for r in rows) == [1, 2, 3, 4, 5]
+    assert sorted(r["id"] for r in rows) == [1, 2, 3, 4, 5, 6]  # a node without a chain is one of its own
     assert sorted((r["place"], r["id"]) for r in rows if r["chain"] == 1) == [(0, 1), (1, 2), (2, 3)]
 
 
