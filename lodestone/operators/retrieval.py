@@ -47,12 +47,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     ``docs`` is ``(doc_id, tokens)``, ``queries`` is ``(query_id, tokens)``; query terms count with their
     multiplicity. ``pool`` (documents like ``docs``) takes the place of the corpus for the statistics.
     """
-    base = docs if pool is None else pool
-    stats = corpus_statistics(base)
     q = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = q.select("term").distinct()
-    tf = docs.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = base.select(F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = materialize(q.select("term").distinct(), "terms")
+    post = query_postings(docs, terms)
+    stats, df = _statistics(post if pool is None else query_postings(pool, terms))
+    tf = post.where("term IS NOT NULL")
     weighed = df.crossJoin(F.broadcast(stats)).select("term", "avg_len", scoring.idf(F.col("n_docs"), F.col("df")).alias("idf"))  # stats: one row
     part = tf.join(weighed, "term").select(
         "doc_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("part")
@@ -60,15 +59,31 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     return part.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
 
 
+def query_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(doc_id, len, term, tf)`` of the given terms, and for each document one row with a null term: one pass over the tokens."""
+    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([(None,)], "term string")).withColumnRenamed("term", "_t")
+    each = docs.select("doc_id", F.size("tokens").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    return materialize(each.join(wanted, each["term"].eqNullSafe(wanted["_t"]), "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+
+
+def _statistics(post: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Number and mean length of all documents (one row), and document frequencies."""
+    every = post.where("term IS NULL")
+    return (
+        every.agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len")),
+        post.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df")),
+    )
+
+
 def tfidf(docs: DataFrame, max_features: int = 8000) -> DataFrame:
     """``(doc_id, term, weight)``: sublinear tf, smoothed idf, unit length; the most frequent terms only."""
-    tf = term_frequencies(docs)
+    tf = materialize(docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
     vocab = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    w = tf.join(vocab, "term").crossJoin(F.broadcast(n))  # one row
+    w = tf.join(F.broadcast(vocab), "term").crossJoin(F.broadcast(n))  # max_features rows; one row
     raw = w.select("doc_id", "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("raw"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def sparse_cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -150,3 +165,39 @@ def max_sim_column(words: Column, others: Column) -> Column:
         return pd.Series([max_sims(list(a), list(b)) for a, b in zip(x, y, strict=True)])
 
     return sims(words, others)
+
+
+def affinity_rows(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each node's row of the affinity matrix, columns in the order of the ids: ``(id, affinity)``; itself 1, no pair 0.
+
+    ``pairs`` is ``(a, b, score)`` with ``a < b``. A row has as many cells as there are nodes: meant for a sample or a cluster.
+    """
+    every = nodes.select(F.col("id").alias("other"))
+    columns = F.broadcast(every.agg(F.array_sort(F.collect_list("other")).alias("columns")))
+    two = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").union(pairs.select("b", "a", "score")).union(nodes.select("id", "id", F.lit(1.0)))
+    cells = two.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("other", "score"))).alias("m"))
+    return cells.crossJoin(columns).select("id", F.transform("columns", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0))).alias("affinity"))  # one row
+
+
+def cascade(lexical: DataFrame, dense: DataFrame, links: DataFrame, units: DataFrame, late: DataFrame, first: int = 169, seeds: int = 144, final: int = 10) -> DataFrame:
+    """The layered retrieval of ``(query_id, unit, score, rank)``.
+
+    Lexical and dense rankings of ``first`` chunks each are fused by reciprocal ranks to ``seeds``; these are expanded over
+    ``links (doc_id, other, score)`` and fused with the expansion; chunks become their ``units (doc_id, unit)``, each with its best
+    chunk; units are scored anew by ``late (query_id, unit, late)``, a late interaction, and the ``final`` best are kept.
+    """
+    seed = materialize(top_k(reciprocal_rank_fusion([lexical.where(F.col("rank") <= first), dense.where(F.col("rank") <= first)]), seeds), "seeds")
+    near = seed.select("query_id", "doc_id", F.col("score").alias("s")).join(links, "doc_id").groupBy("query_id", F.col("other").alias("doc_id")).agg(F.round(F.sum(F.col("s") * F.col("score")), 9).alias("score"))
+    pool = reciprocal_rank_fusion([seed, top_k(near, seeds)])
+    rebuilt = pool.join(units, "doc_id").groupBy("query_id", "unit").agg(F.max("score").alias("fused"))
+    return top_k(rebuilt.join(late, ["query_id", "unit"]).select("query_id", F.col("unit").alias("doc_id"), F.col("late").alias("score")), final)
+
+
+def match_or_new(rows: DataFrame, known: DataFrame, scores: DataFrame, least: float = 0.85) -> DataFrame:
+    """Each row's best partner in another collection from ``least`` on, or none: ``(id, match, score, is_new)``.
+
+    ``scores`` is ``(id, other, score)``; ties go to the least id.
+    """
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    best = scores.join(known.select(F.col("id").alias("other")), "other", "left_semi").where(F.col("score") >= least).withColumn("n", F.row_number().over(w)).where("n = 1")
+    return rows.select("id").join(best, "id", "left").select("id", F.col("other").alias("match"), "score", F.col("other").isNull().alias("is_new"))

@@ -38,11 +38,12 @@ def sentence_chunks(spark, sf):
     return files.sentence_chunks(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("symbol_scan", "SELECT page_id, string_agg(DISTINCT m, ',' ORDER BY m) AS tags FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS m FROM pages) GROUP BY 1")
+@query("symbol_scan", "SELECT n_nationkey AS path, [n_name || '.run', 'f' || n_regionkey] AS functions, list_sort(['mod' || n_regionkey, 'net.' || n_nationkey]) AS requires FROM nation")
 def symbol_scan(spark, sf):
-    """Sorted distinct symbols of each page (here: tag names)."""
-    t = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))))
-    return table(spark, sf, "pages").select("page_id", F.array_join(t, ",").alias("tags"))
+    """Top-level functions and required modules of one Lua source a nation; an inner function is no symbol."""
+    lua = F.concat(F.lit("local function f"), "n_regionkey", F.lit("(x)\n  local function inner() end\nend\nfunction "), "n_name", F.lit(".run()\nlocal a = require('mod"), "n_regionkey", F.lit("')\nrequire \"net."), "n_nationkey", F.lit('"\n'))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("path"), lua.alias("content"), "n_name", "n_regionkey")
+    return files.lua_symbols(n)
 
 
 @query("file_kinds", "SELECT page_id, CASE WHEN regexp_matches(url, '\\?page=') THEN 'config' WHEN regexp_matches(url, '#top$') THEN 'doc' ELSE 'other' END AS kind FROM pages")

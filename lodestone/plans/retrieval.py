@@ -72,12 +72,13 @@ def tfidf_norms(spark, sf):
 
 @query(
     "expanded_bm25_top10",
-    f"WITH {BM25}, e AS (SELECT query_id, doc_id, round(round(score, 6) * 2, 6) AS score FROM bm WHERE score > 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM e) WHERE rank <= 10",
+    f"""WITH {BM25}, e AS (SELECT query_id, doc_id, round(sum(round(part, 6)), 6) AS score FROM part JOIN (SELECT DISTINCT query_id, term FROM qt) x ON part.term = x.term GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM e WHERE score > 0) WHERE rank <= 10""",
 )
 def expanded_bm25_top10(spark, sf):
-    """Every query with itself as a second expansion: scores add up."""
-    q = _queries(spark, sf)
-    return r.top_k(r.expanded_bm25(_docs(spark, sf), q.union(q)), 10)
+    """Every distinct term of an item is an expansion of its own: their scores add up."""
+    q = _queries(spark, sf).select("query_id", F.explode(F.array_distinct("tokens")).alias("t"))
+    return r.top_k(r.expanded_bm25(_docs(spark, sf), q.select("query_id", F.array("t").alias("tokens"))), 10)
 
 
 DENSE = """
@@ -98,21 +99,81 @@ def cosine_pair_stats(spark, sf):
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"))
 
 
+SELF = """
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') AS tokens FROM documents),
+q AS (SELECT doc_id AS query_id, tokens FROM d WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+"""
+HYBRID = BM25.replace(TOKENS, SELF) + ", " + DENSE.strip() + """,
+l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm WHERE query_id <> doc_id),
+v AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM two WHERE query_id IN (SELECT query_id FROM q))
+"""
+
+
+def _hybrid(spark, sf, dense: int, lexical: int) -> tuple[DataFrame, DataFrame]:
+    """Dense and BM25 rankings for every twentieth document that has a vector; a document doesn't find itself."""
+    docs, v = _docs(spark, sf), table(spark, sf, "embeddings")
+    ids = v.select(F.col("vec_id").alias("query_id"))
+    q = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id").join(ids, "query_id", "left_semi")
+    near = sim.dense_neighbours(v, "vec_id", "embedding", dense).join(q.select("query_id"), "query_id", "left_semi")
+    return near, r.top_k(r.bm25(docs, q).where("query_id <> doc_id"), lexical)
+
+
 @query(
     "rrf_hybrid_top10",
-    f"""WITH {BM25},
-k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm),
-f AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM k WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY ov DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, count(*) AS ov FROM qt JOIN tf ON qt.term = tf.term GROUP BY 1, 2)) WHERE rank <= 10),
+    f"""WITH {HYBRID},
+f AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM v WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM l WHERE rank <= 10),
 g AS (SELECT query_id, doc_id, round(sum(s), 9) AS score FROM f GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g) WHERE rank <= 10""",
 )
 def rrf_hybrid_top10(spark, sf):
-    """Two rankings of different depth (BM25 50, term overlap 10) fused by reciprocal ranks."""
-    docs, q = _docs(spark, sf), _queries(spark, sf)
-    first = r.top_k(r.bm25(docs, q), 50)
-    terms = q.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    overlap = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    return r.top_k(r.reciprocal_rank_fusion([first, r.top_k(overlap, 10)]), 10)
+    """Two rankings of different depth (dense 50, BM25 10) fused by reciprocal ranks."""
+    near, lexical = _hybrid(spark, sf, 50, 10)
+    return r.top_k(r.reciprocal_rank_fusion([near, lexical]), 10)
+
+
+@query(
+    "cascade_top10",
+    f"""WITH {HYBRID},
+f AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM v WHERE rank <= 169 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM l WHERE rank <= 169),
+s0 AS (SELECT query_id, doc_id, round(sum(s), 9) AS score FROM f GROUP BY 1, 2),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s0) WHERE rank <= 144),
+k AS (SELECT query_id AS doc_id, doc_id AS other, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM two) WHERE rank <= 5),
+x0 AS (SELECT query_id, other AS doc_id, round(sum(s.score * k.score), 9) AS score FROM s JOIN k ON s.doc_id = k.doc_id GROUP BY 1, 2),
+x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x0) WHERE rank <= 144),
+pool AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM s UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM x) GROUP BY 1, 2),
+u AS (SELECT DISTINCT query_id, doc_id // 10 AS unit FROM pool),
+e AS (SELECT query_id, doc_id // 10 AS unit, max(score) AS late FROM two WHERE query_id IN (SELECT query_id FROM q) GROUP BY 1, 2),
+z AS (SELECT u.query_id, u.unit AS doc_id, late AS score FROM u JOIN e ON u.query_id = e.query_id AND u.unit = e.unit)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM z) WHERE rank <= 10""",
+)
+def cascade_top10(spark, sf):
+    """The layered retrieval: chunks are documents, units ten of them, the late interaction is the greatest cosine in a unit."""
+    near, lexical = _hybrid(spark, sf, 169, 169)
+    v = table(spark, sf, "embeddings")
+    links = sim.dense_neighbours(v, "vec_id", "embedding", 5).select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("other"), "score")
+    unit = F.floor(F.col("doc_id") / 10).cast("long")
+    units = table(spark, sf, "documents").select("doc_id", unit.alias("unit"))
+    p = sim.dense_pairs(v, "vec_id", "embedding")
+    two = p.select(F.col("a").alias("query_id"), F.col("b").alias("doc_id"), "score").union(p.select("b", "a", "score"))
+    late = two.groupBy("query_id", unit.alias("unit")).agg(F.max("score").alias("late"))
+    return r.cascade(lexical, near, links, units, late)
+
+
+@query("affinity_rows", f"WITH {DENSE}, e AS (SELECT query_id AS id, doc_id AS other, score FROM two UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings) SELECT id, list(score ORDER BY other) AS affinity FROM e WHERE id % 10 = 0 AND other % 10 = 0 GROUP BY id")
+def affinity_rows(spark, sf):
+    """The affinity space of every tenth vector (the operator's matrix is square, so it is meant for a sample)."""
+    v = table(spark, sf, "embeddings").where("vec_id % 10 = 0")
+    return r.affinity_rows(sim.dense_pairs(v, "vec_id", "embedding"), v.select(F.col("vec_id").alias("id")))
+
+
+@query("match_or_new", f"WITH {DENSE}, m AS (SELECT query_id AS id, doc_id AS other, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM two WHERE query_id % 2 = 1 AND doc_id % 2 = 0 AND score >= 0.35) SELECT vec_id AS id, other AS match, score, other IS NULL AS is_new FROM embeddings LEFT JOIN m ON vec_id = m.id AND n = 1 WHERE vec_id % 2 = 1")
+def match_or_new(spark, sf):
+    """Odd vectors matched with the collection of even ones, or new."""
+    v = table(spark, sf, "embeddings")
+    p = sim.dense_pairs(v, "vec_id", "embedding", above=0.34)
+    two = p.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").union(p.select("b", "a", "score"))
+    odd, even = (v.where(F.col("vec_id") % 2 == k).select(F.col("vec_id").alias("id")) for k in (1, 0))
+    return r.match_or_new(odd, even, two, 0.35)
 
 
 @query(
@@ -160,10 +221,30 @@ def item_jaccard(spark, sf):
     return sim.set_jaccard(f, "query_id", "f").withColumn("score", F.round("score", 6))
 
 
+@query(
+    "dual_jaccard",
+    f"""WITH {TOKENS}
+t AS (SELECT query_id AS k, unnest(list_distinct(tokens)) AS f FROM q), tn AS (SELECT k, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT item_id AS k, string_split(lower(text), '') AS c FROM benchmark),
+g AS (SELECT DISTINCT k, g AS f FROM (SELECT k, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM c) WHERE regexp_full_match(replace(g, ' ', ''), '\\p{{L}}+')), gn AS (SELECT k, count(*) AS n FROM g GROUP BY 1),
+s1 AS (SELECT a, b, o / CAST(x.n + y.n - o AS DOUBLE) AS s FROM (SELECT x.k AS a, y.k AS b, count(*) AS o FROM t x JOIN t y ON x.f = y.f AND x.k < y.k GROUP BY 1, 2) JOIN tn x ON a = x.k JOIN tn y ON b = y.k),
+s2 AS (SELECT a, b, o / CAST(x.n + y.n - o AS DOUBLE) AS s FROM (SELECT x.k AS a, y.k AS b, count(*) AS o FROM g x JOIN g y ON x.f = y.f AND x.k < y.k GROUP BY 1, 2) JOIN gn x ON a = x.k JOIN gn y ON b = y.k)
+SELECT a, b, score FROM (SELECT coalesce(s1.a, s2.a) AS a, coalesce(s1.b, s2.b) AS b, round((coalesce(s1.s, 0) + coalesce(s2.s, 0)) / 2, 6) AS score FROM s1 FULL JOIN s2 ON s1.a = s2.a AND s1.b = s2.b) WHERE score > 0.05""",
+)
+def dual_jaccard(spark, sf):
+    """Edges of the benchmark items by the mean of token and character-trigram Jaccard, above 0.05."""
+    t = _queries(spark, sf).select("query_id", F.explode("tokens").alias("f"))
+    c = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.filter(F.split(F.lower("text"), ""), lambda x: x != "").alias("c")).where("size(c) >= 3")
+    at = lambda i: F.slice("c", F.lit(i), F.size("c") - 2)
+    both = lambda x, y: F.concat(x, y)
+    g = c.select("query_id", F.explode(F.zip_with(F.zip_with(at(1), at(2), both), at(3), both)).alias("f")).where(F.replace("f", F.lit(" "), F.lit("")).rlike(r"^\p{L}+$"))
+    return sim.dual_jaccard(t, g, "query_id", "f", "f")
+
+
 @query(
     "fused_similarity",
     f"""WITH {DENSE} SELECT a, b, sparse, score AS dense, round(0.7 * sparse + 0.3 * score, 8) AS fused, CASE WHEN 0.7 * sparse + 0.3 * score >= 0.8 THEN 'MERGE' WHEN 0.7 * sparse + 0.3 * score >= 0.5 THEN 'migrate' WHEN 0.7 * sparse + 0.3 * score >= 0.3 THEN 'xref' ELSE 'low' END AS action
-FROM (SELECT p.a, p.b, p.score, CAST(CAST(x.label = y.label AS INTEGER) AS DOUBLE) AS sparse FROM p JOIN embeddings x ON p.a = x.vec_id JOIN embeddings y ON p.b = y.vec_id) WHERE round(0.7 * sparse + 0.3 * score, 8) >= 0.5""",
+FROM (SELECT p.a, p.b, p.score, CAST(CAST(x.label = y.label AS INTEGER) AS DOUBLE) AS sparse FROM p JOIN embeddings x ON p.a = x.vec_id JOIN embeddings y ON p.b = y.vec_id) """,
 )
 def fused_similarity(spark, sf):
     """Sparse (label set) and dense (cosine) scores fused 0.7 / 0.3, with the prescribed action."""
@@ -173,7 +254,7 @@ def fused_similarity(spark, sf):
     y = v.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"))
     j = p.join(x, "a").join(y, "b").withColumn("sparse", (F.col("la") == F.col("lb")).cast("double"))
     fused = sim.fuse(F.col("sparse"), F.col("score"), F.lit(True))
-    return j.select("a", "b", "sparse", F.col("score").alias("dense"), F.round(fused, 8).alias("fused"), scoring.prescription(fused).alias("action")).where("fused >= 0.5")
+    return j.select("a", "b", "sparse", F.col("score").alias("dense"), F.round(fused, 8).alias("fused"), scoring.prescription(fused).alias("action"))
 
 
 @query("retrieval_index", "SELECT term, count(*) AS df, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')) AS term FROM documents) GROUP BY term")
