@@ -116,3 +116,51 @@ def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     ab = per.groupBy("u").agg(F.max(F.when(F.col("lu") == F.col("lv"), F.col("d"))).alias("x"), F.min(F.when(F.col("lu") != F.col("lv"), F.col("d"))).alias("y"))
     s = F.when(F.col("x").isNull() | F.col("y").isNull(), 0.0).otherwise((F.col("y") - F.col("x")) / F.greatest("x", "y"))
     return ab.agg(F.round(F.avg(s), 6).alias("silhouette"))
+
+
+def hashed_vectors(weights: DataFrame, key: str, term: str, weight: str, width: int = 1024) -> DataFrame:
+    """Sparse rows ``(key, term, weight)`` as dense vectors of ``width`` hashed columns: ``(key, vec)``."""
+    cells = weights.groupBy(key, F.pmod(F.xxhash64(term), F.lit(width)).cast("int").alias("c")).agg(F.sum(weight).cast("double").alias("x"))
+    rows = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("c", "x"))).alias("m"))
+    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
+
+
+def kmeans_restarts(vectors: DataFrame, key: str, vec: str, k: int, restarts: int = 3, seed: int = 42) -> DataFrame:
+    """The k-means of least cost of several starts, ``k`` at most the number of rows: ``(key, cluster)``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    x = vectors.select(F.col(key), array_to_vector(F.col(vec).cast("array<double>")).alias("features")).cache()
+    fits = [KMeans(k=max(2, min(k, x.count())), seed=seed + i, maxIter=20).fit(x) for i in range(restarts)]
+    best = min(fits, key=lambda f: f.summary.trainingCost)
+    return best.transform(x).select(key, F.col("prediction").alias("cluster"))
+
+
+def gaussian_mixture(vectors: DataFrame, key: str, vec: str, k: int, seed: int = 42) -> DataFrame:
+    """Soft clusters by a Gaussian mixture: ``(key, cluster, confidence)``."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = vectors.select(F.col(key), array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+    got = GaussianMixture(k=k, seed=seed, maxIter=30).fit(x).transform(x)
+    return got.select(key, F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("confidence"))
+
+
+def composite_score(silhouette: DataFrame, bss_tss: DataFrame) -> DataFrame:
+    """``0.5 (silhouette + 1) / 2 + 0.5 bss_tss`` of two one-row tables."""
+    both = silhouette.crossJoin(F.broadcast(bss_tss))  # one row each
+    return both.select(F.round(0.5 * (F.col("silhouette") + 1) / 2 + 0.5 * F.col("bss_tss"), 6).alias("score"))
+
+
+def explained_variance(vectors: DataFrame, vec: str, dims: int) -> DataFrame:
+    """Variance of the columns projected on the leading directions over that of all columns: one row ``(dims, explained)``."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = vectors.select(F.col(vec).cast("array<double>").alias("vec"), array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    y = PCA(k=dims, inputCol="v", outputCol="p").fit(x).transform(x).select("vec", vector_to_array("p").alias("p"))
+
+    def total(column: str) -> DataFrame:
+        return y.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v")).agg(F.sum("v").alias(f"all_{column}"))
+
+    return total("p").crossJoin(F.broadcast(total("vec"))).select(F.lit(dims).alias("dims"), F.round(F.when(F.col("all_vec") > 0, F.col("all_p") / F.col("all_vec")).otherwise(0.0), 6).alias("explained"))  # one row each

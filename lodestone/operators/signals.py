@@ -106,3 +106,12 @@ def splits(n_rows: DataFrame, train: int, test: int, step: int, n: str = "n") ->
     last = F.col(n) - F.lit(train + test)
     starts = n_rows.where(last >= 0).select(F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(step).cast("long"))).alias("start"))
     return starts.select("start", (F.col("start") + train).alias("test_from"), (F.col("start") + train + test).alias("test_to"))
+
+
+def fixed_step(df: DataFrame, by: str, order: list[str], value: str, alpha: float, start: float) -> DataFrame:
+    """Last value of ``q += alpha (r - q)`` from ``start``: ``(by, n, q)``, as a weighted sum, so no series is held in memory."""
+    w = Window.partitionBy(by).orderBy(*[F.desc(o) for o in order])
+    back = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("_r"), (F.row_number().over(w) - 1).alias("_k"))
+    keep = 1.0 - alpha
+    q = F.lit(start) * F.pow(F.lit(keep), F.count(F.lit(1))) + F.sum(F.lit(alpha) * F.pow(F.lit(keep), F.col("_k")) * F.col("_r"))
+    return back.groupBy(by).agg(F.count(F.lit(1)).alias("n"), q.alias("q"))

@@ -100,6 +100,62 @@ def dense_neighbours(vectors: DataFrame, key: str, vec: str, k: int, block: int
     return top_k(near, k)
 
 
+#: Rows that the cells of ``cell_neighbours`` are fitted on, by hash order (a bounded sample), and rows of a cell's block.
+CELL_SAMPLE, CELL_BLOCK = 20_000, 4096
+
+
+def cell_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, cells: int | None = None, share: float = 0.4, seed: int = 42) -> DataFrame:
+    """Approximate k nearest by cosine for the rows of ``queries``: ``(query_id, doc_id, score, rank)``, itself excluded.
+
+    Cells are the k-means cells of a bounded sample; every vector lies in its cell, and a query looks into that ``share`` of them that
+    is nearest. A cell is dealt into blocks of some ``CELL_BLOCK`` rows, so a hot cell is many tasks; each block sends its k best. The
+    exact form is ``dense_neighbours``; recall against it is a matter of ``share`` and of how clustered the vectors are.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from .retrieval import top_k
+
+    src = vectors.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    n = src.count()
+    some = src.orderBy(F.xxhash64("k"), "k").limit(CELL_SAMPLE)
+    size = cells or max(2, min(1024, int(n**0.5 / 2)))
+    look = max(1, min(size, round(size * share)))
+    fitted = KMeans(k=size, seed=seed, maxIter=10).setDistanceMeasure("cosine").fit(some.select(array_to_vector("v").alias("features")))
+    centres = np.array([c / (np.linalg.norm(c) or 1.0) for c in fitted.clusterCenters()])  # at most 1,024 rows
+
+    def nearest(width: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    order = np.argsort(-(_unit(f) @ centres.T), axis=1, kind="stable")[:, :width]
+                    yield pd.DataFrame({"k": f["k"].repeat(width).to_numpy(), "v": f["v"].repeat(width).to_numpy(), "cell": order.ravel().astype("int32")})
+
+        return run
+
+    placed = src.mapInPandas(nearest(1), "k long, v array<double>, cell int")
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).drop("blocks")  # a row per cell
+    asked = queries.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")).mapInPandas(nearest(look), "k long, v array<double>, cell int")
+    sent = asked.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        right = right.sort_values("k")
+        out, ids, unit = [], right["k"].to_numpy(), _unit(right)
+        for at in range(0, len(left), 1024):
+            q = left.iloc[at : at + 1024]
+            s = np.round(np.clip(_unit(q) @ unit.T, -1, 1), 6) + 0.0
+            order = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
+            pair = pd.DataFrame({"query_id": np.repeat(q["k"].to_numpy(), order.shape[1]), "doc_id": ids[order].ravel(), "score": np.take_along_axis(s, order, axis=1).ravel()})
+            out.append(pair[pair["query_id"] != pair["doc_id"]])
+        return pd.concat(out)
+
+    near = sent.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInPandas(best, "query_id long, doc_id long, score double")
+    return top_k(near, k)
+
+
 def fuse(sparse: Column, dense: Column, has_both: Column, w_sparse: float = 0.7) -> Column:
     """``0.7 sparse + 0.3 dense``; the sparse score alone if a vector is missing."""
     return F.when(has_both, w_sparse * sparse + (1 - w_sparse) * dense).otherwise(sparse)

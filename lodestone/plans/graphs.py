@@ -108,6 +108,27 @@ def two_step_dwpc(spark, sf):
     return g.two_step_dwpc(_edges(spark, sf))
 
 
+@query(
+    "dwpc_top15",
+    f"""WITH {EDGES}, t AS (SELECT x.u AS a, y.v AS b, count(*) / pow(greatest(sum(degree), 1), 0.4) AS s FROM two x JOIN two y ON x.v = y.u JOIN deg ON deg.u = x.v WHERE x.u < y.v GROUP BY 1, 2),
+d AS (SELECT a, b, round(sum(s), 6) AS dwpc FROM (SELECT a, b, 1.0 AS s FROM e UNION ALL SELECT a, b, s FROM t) GROUP BY 1, 2) SELECT * FROM d ORDER BY dwpc DESC, a, b LIMIT 15""",
+)
+def dwpc_top15(spark, sf):
+    """The 15 pairs of greatest path count."""
+    return g.two_step_dwpc(_edges(spark, sf)).orderBy(F.desc("dwpc"), "a", "b").limit(15)
+
+
+@query("betweenness_top10", None)
+def betweenness_top10(spark, sf):
+    return betweenness(spark, sf).orderBy(F.desc("betweenness"), "id").limit(10)
+
+
+@query("chain_lengths", None)
+def chain_lengths(spark, sf):
+    """Chains with their lengths, the longest first, then by name."""
+    return greedy_chains(spark, sf).groupBy("chain").agg(F.count(F.lit(1)).alias("length")).orderBy(F.desc("length"), "chain")
+
+
 @query("edge_dwpc", f"WITH {EDGES} SELECT two.u, round(sum(w / (sqrt(x.degree * y.degree) + 1e-9)), 6) AS score FROM two JOIN deg x ON two.u = x.u JOIN deg y ON two.v = y.u GROUP BY 1")
 def edge_dwpc(spark, sf):
     return g.edge_dwpc(_edges(spark, sf))

@@ -29,6 +29,17 @@ def ema_last(spark, sf):
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max_by("x", F.struct("ts", "event_id")), 6).alias("ema"))
 
 
+@query(
+    "fixed_step_values",
+    """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL),
+q AS (SELECT user_id, k, 0.5 + 0.1 * (value - 0.5) AS q FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, q.q + 0.1 * (o.value - q.q) FROM q JOIN o ON o.user_id = q.user_id AND o.k = q.k + 1)
+SELECT user_id, count(*) AS n, round(max_by(q, k), 6) AS q FROM q GROUP BY user_id""",
+)
+def fixed_step_values(spark, sf):
+    """Learned value of each user's events: a step of 0.1 towards each new one, from 0.5."""
+    return signals.fixed_step(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 0.1, 0.5).withColumn("q", F.round("q", 6))
+
+
 @query(
     "streaks",
     """WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events)

@@ -185,6 +185,19 @@ def latent_projection(spark, sf):
     return latent.svd_projection(q.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")), "doc_id", "t", "n", 16)
 
 
+@query("latent_graph", None)
+def latent_graph(spark, sf):
+    """Edges of the benchmark items whose latent vectors have a cosine above 0.55."""
+    return sim.dense_pairs(latent_projection(spark, sf), "doc_id", "vec", above=0.54).where("score > 0.55")
+
+
+@query("cell_neighbours", None)
+def cell_neighbours(spark, sf):
+    """Ten nearest of every twentieth vector among all, by the cells of an inverted file: seven in ten of them, as these vectors hardly cluster (recall is tested)."""
+    v = table(spark, sf, "embeddings")
+    return sim.cell_neighbours(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, share=0.7)
+
+
 @query("frequent_sequences", None)
 def frequent_sequences(spark, sf):
     """Event patterns of up to three items (the query's feature) found with at least 60 % of users, by PrefixSpan."""

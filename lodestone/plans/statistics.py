@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import scoring
-from ..operators import cluster, retrieval as r, sampling, stats
+from ..operators import cluster, retrieval as r, sampling, similarity, stats
 from ..session import table
 from .registry import query
+from .retrieval import DENSE
 
 
 @query("count_by_category", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
@@ -228,6 +229,38 @@ def bss_tss(spark, sf):
     return cluster.bss_tss(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
 
 
+def _tfidf_vectors(spark, sf):
+    q = r.tokens(table(spark, sf, "benchmark"), "item_id", "text")
+    return cluster.hashed_vectors(r.tfidf(q), "doc_id", "term", "weight")
+
+
+@query("kmeans_tfidf", None)
+def kmeans_tfidf(spark, sf):
+    """Five clusters of the benchmark items by their TF-IDF vectors, the best of three starts."""
+    return cluster.kmeans_restarts(_tfidf_vectors(spark, sf), "doc_id", "vec", 5)
+
+
+@query("gaussian_mixture", None)
+def gaussian_mixture(spark, sf):
+    """Soft clusters of the embeddings' first eight coordinates."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("head"))
+    return cluster.gaussian_mixture(v, "vec_id", "head", 4).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("explained_variance", None)
+def explained_variance(spark, sf):
+    """Share of the TF-IDF view's variance in its 16 leading directions."""
+    return cluster.explained_variance(_tfidf_vectors(spark, sf), "vec", 16)
+
+
+@query("composite_cluster_score", f"WITH {COORD}, gm AS (SELECT dim, avg(x) AS g FROM x GROUP BY 1), bt AS (SELECT round((sum((x - g) * (x - g)) - sum((x - c) * (x - c))) / sum((x - g) * (x - g)), 6) AS bss FROM x JOIN c ON x.label = c.label AND x.dim = c.dim JOIN gm ON x.dim = gm.dim), {DENSE.strip()}, d AS (SELECT query_id AS u, label AS lv, avg(1 - score) AS d FROM two JOIN embeddings ON doc_id = vec_id GROUP BY 1, 2), y AS (SELECT u, max(CASE WHEN lv = e.label THEN d END) AS a, min(CASE WHEN lv <> e.label THEN d END) AS b FROM d JOIN embeddings e ON u = vec_id GROUP BY 1), sl AS (SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS s FROM y) SELECT round(0.5 * (s + 1) / 2 + 0.5 * bss, 6) AS score FROM sl, bt")
+def composite_cluster_score(spark, sf):
+    """Silhouette and between-cluster share of the labels in one figure."""
+    v = table(spark, sf, "embeddings")
+    p = similarity.dense_pairs(v, "vec_id", "embedding").select("a", "b", (1 - F.col("score")).alias("d"))
+    return cluster.composite_score(cluster.silhouette(p, v.select(F.col("vec_id").alias("id"), "label")), cluster.bss_tss(v, "vec_id", "embedding", "label"))
+
+
 @query("kmeans_labels", None)
 def kmeans_labels(spark, sf):
     return cluster.kmeans(table(spark, sf, "embeddings"), "vec_id", "embedding", 5)

@@ -243,6 +243,35 @@ def test_kmeans_is_a_fixed_point(spark, vectors):
     assert (np.array([names[k] for k in d.argmin(axis=1)]) == lab).mean() > 0.98
 
 
+@covers("gaussian_mixture", "explained_variance", "latent_graph", "cell_neighbours", "betweenness_top10", "chain_lengths")
+def test_clusters_and_cells(spark, vectors, cosines):
+    ids, _, _ = vectors
+    got = rows(spark, "gaussian_mixture")
+    assert sorted(r["vec_id"] for r in got) == ids and all(0.25 - 1e-6 <= r["confidence"] <= 1 + 1e-6 and r["cluster"] in range(4) for r in got)
+    from lodestone.plans.statistics import _tfidf_vectors
+
+    m = np.array([r["vec"] for r in _tfidf_vectors(spark, DIR).collect()])
+    eig = np.sort(np.linalg.eigvalsh(np.cov(m.T, bias=True)))[::-1]
+    assert rows(spark, "explained_variance")[0]["explained"] == pytest.approx(eig[:16].sum() / eig.sum(), abs=1e-5)
+    vec = {r["doc_id"]: np.array(r["vec"]) for r in rows(spark, "latent_projection")}
+    want = {(a, b) for a, b in itertools.combinations(sorted(vec), 2) if round(float(vec[a] @ vec[b]), 6) > 0.55}
+    assert {(r["a"], r["b"]) for r in rows(spark, "latent_graph")} == want
+    near = rows(spark, "cell_neighbours")
+    hits = total = 0
+    for i in ids:
+        if i % 20 == 0:
+            best = {j for j in sorted((j for j in ids if j != i), key=lambda j: (-cosines[ids.index(i), ids.index(j)], j))[:10]}
+            mine = [r for r in near if r["query_id"] == i]
+            assert sorted(r["rank"] for r in mine) == list(range(1, len(mine) + 1)) and all(r["score"] == pytest.approx(cosines[ids.index(i), ids.index(r["doc_id"])], abs=2e-6) for r in mine)
+            hits += len(best & {r["doc_id"] for r in mine})
+            total += len(best)
+    assert total and hits / total >= 0.9
+    b = rows(spark, "betweenness")
+    assert [tuple(r) for r in rows(spark, "betweenness_top10")] == sorted(map(tuple, b), key=lambda r: (-r[1], r[0]))[:10]
+    n = Counter(r["chain"] for r in rows(spark, "greedy_chains"))
+    assert [tuple(r) for r in rows(spark, "chain_lengths")] == sorted(n.items(), key=lambda x: (-x[1], x[0]))
+
+
 @covers("latent_projection")
 def test_latent_projection(spark):
     got = [np.array(r["vec"]) for r in rows(spark, "latent_projection")]
