@@ -39,7 +39,7 @@ def helper(df: DataFrame, name: str) -> str:
     return name
 
 
-def spread_out(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+def spread_out(df: DataFrame, small: int = 16 << 20) -> DataFrame:
     """A small table, which may lie in one file and so in one task, dealt over all cores; a larger one as it is."""
     size = input_bytes(df)
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size is not None and size < small else df
