@@ -10,7 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import materialize
 
 
 def set_jaccard(features: DataFrame, key: str, feature: str) -> DataFrame:
@@ -24,6 +26,31 @@ def set_jaccard(features: DataFrame, key: str, feature: str) -> DataFrame:
     return sized.select("a", "b", "overlap", union.alias("union"), (F.col("overlap") / union).alias("score"))
 
 
+def jaccard_at_least(features: DataFrame, key: str, feature: str, least: float) -> DataFrame:
+    """Pairs ``a < b`` of Jaccard ``least`` or more: ``(a, b, overlap, score)``, without loss and without the common features.
+
+    Sets of n features that reach it share one of the ``n - ceil(least n) + 1`` rarest of either, so only those meet; sizes
+    that are too far apart don't. Candidates are verified on the whole sets. Equal sets are one node while pairs are
+    sought, so a feature that only copies share is met once.
+    """
+    sets = features.select(F.col(key).alias("k"), F.col(feature).alias("f")).groupBy("k").agg(F.array_sort(F.collect_set("f")).alias("s"))
+    own = materialize(sets.withColumn("node", F.sha2(F.to_json("s"), 256)), "sets")
+    nodes = own.groupBy("node").agg(F.first("s").alias("s"), F.first(F.size("s")).alias("n"))
+    each = nodes.select("node", "n", F.explode("s").alias("f"))
+    known = each.join(each.groupBy("f").agg(F.count(F.lit(1)).alias("df")), "f")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "f"))
+    head = materialize(known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("node", "n", "f"), "heads")
+    left, right = head.select(F.col("node").alias("x"), F.col("n").alias("nx"), "f"), head.select(F.col("node").alias("y"), F.col("n").alias("ny"), "f")
+    met = left.join(right, "f").where((F.col("x") < F.col("y")) & (F.least("nx", "ny") >= least * F.greatest("nx", "ny") - 1e-9)).select("x", "y").distinct()
+    full = met.join(nodes.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(nodes.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
+    over = full.select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("long").alias("overlap"), (F.size("sx") + F.size("sy")).alias("all"))
+    same = nodes.select(F.col("node").alias("x"), F.col("node").alias("y"), F.col("n").cast("long").alias("overlap"), (2 * F.col("n")).alias("all"))
+    good = over.unionByName(same).withColumn("score", F.round(F.col("overlap") / (F.col("all") - F.col("overlap")), 6)).where(F.col("score") >= least)
+    p, q = own.select(F.col("node").alias("x"), F.col("k").alias("p")), own.select(F.col("node").alias("y"), F.col("k").alias("q"))
+    pairs = good.join(p, "x").join(q, "y").where((F.col("x") < F.col("y")) | (F.col("p") < F.col("q")))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "overlap", "score")
+
+
 def dot(x: Column, y: Column) -> Column:
     """Dot product in doubles."""
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -221,6 +221,17 @@ def item_jaccard(spark, sf):
     return sim.set_jaccard(f, "query_id", "f").withColumn("score", F.round("score", 6))
 
 
+@query(
+    "jaccard_pairs",
+    """WITH f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')) AS f FROM documents), n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS overlap FROM f x JOIN f y ON x.f = y.f AND x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT * FROM (SELECT a, b, overlap, round(overlap / CAST(x.n + y.n - overlap AS DOUBLE), 6) AS score FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id) WHERE score >= 0.8""",
+)
+def jaccard_pairs(spark, sf):
+    """Pairs of documents whose token sets have a Jaccard of 0.8 or more, by their rarest tokens."""
+    return sim.jaccard_at_least(_docs(spark, sf).select("doc_id", F.explode("tokens").alias("f")), "doc_id", "f", 0.8)
+
+
 @query(
     "dual_jaccard",
     f"""WITH {TOKENS}
