@@ -201,3 +201,34 @@ def match_or_new(rows: DataFrame, known: DataFrame, scores: DataFrame, least: fl
     w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     best = scores.join(known.select(F.col("id").alias("other")), "other", "left_semi").where(F.col("score") >= least).withColumn("n", F.row_number().over(w)).where("n = 1")
     return rows.select("id").join(best, "id", "left").select("id", F.col("other").alias("match"), "score", F.col("other").isNull().alias("is_new"))
+
+
+def route_clusters(
+    near: DataFrame, labels: DataFrame, centroids: DataFrame, vectors: DataFrame, seeds: int = 10, clusters: int = 3, total: int = 12, within: int = 20, backstop: int = 3, lam: float = 0.7
+) -> DataFrame:
+    """Soft cluster routing with a backstop: ``(query_id, doc_id, score, cluster)``.
+
+    ``near`` is ``(query_id, doc_id, score)``, ``labels`` ``(doc_id, cluster)``, ``centroids`` ``(query_id, cluster, centroid_sim)``, ``vectors``
+    ``(doc_id, vec)``. The ``seeds`` best documents of a query give their clusters a mass of positive scores; of the clusters with
+    seeds, the best by ``0.7 centroid + 0.3 mass`` share the ``total``, one result each at least. Inside a cluster results are chosen by
+    marginal relevance among its ``within`` best. The ``backstop`` best of all are added (without a cluster), and a document
+    that came twice stays once, with its cluster.
+    """
+    from .selection import mmr
+
+    labelled = materialize(near.join(labels, "doc_id"), "labelled")
+    mass = top_k(labelled, seeds).groupBy("query_id", "cluster").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("mass"))
+    scored = centroids.join(mass, ["query_id", "cluster"]).withColumn("worth", F.round(0.7 * F.col("centroid_sim") + 0.3 * F.col("mass"), 9))
+    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("worth"), "cluster"))).where(F.col("n") <= clusters)
+    each = Window.partitionBy("query_id")
+    positive, rest = F.sum(F.greatest("worth", F.lit(0.0))).over(each), F.lit(total) - F.count(F.lit(1)).over(each)
+    share = F.greatest("worth", F.lit(0.0)) / positive
+    budget = F.when((positive <= 0) | (rest <= 0), F.lit(1)).otherwise(F.greatest(F.lit(1), 1 + F.bround(share * rest)))
+    budgets = materialize(best.select("query_id", "cluster", budget.cast("int").alias("budget")), "budgets")
+    inside = labelled.join(budgets, ["query_id", "cluster"])
+    place = F.row_number().over(Window.partitionBy("query_id", "cluster").orderBy(F.desc("score"), "doc_id"))
+    pool = inside.withColumn("n", place).where(F.col("n") <= within).withColumn("_group", F.concat_ws(":", "query_id", "cluster"))
+    chosen = mmr(pool.join(vectors, "doc_id").select(F.col("_group").alias("query_id"), "doc_id", "score", "vec"), total, lam)
+    routed = pool.join(chosen.withColumnRenamed("query_id", "_group"), ["_group", "doc_id"]).where(F.col("place") <= F.col("budget")).select("query_id", "doc_id", "score", "cluster")
+    added = top_k(near, backstop).select("query_id", "doc_id", "score", F.lit(None).cast(routed.schema["cluster"].dataType).alias("cluster"))
+    return best_per_key([routed, added], ["query_id", "doc_id"], "score")

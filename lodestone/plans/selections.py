@@ -19,6 +19,28 @@ def mmr_selection(spark, sf):
     return sel.mmr(near.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id").select("query_id", "doc_id", "score", "vec"), 5)
 
 
+@query("mmr_walk", None)
+def mmr_walk(spark, sf):
+    """A walk of twenty steps through each vector's fifty neighbours: relevance against the last twelve steps."""
+    v = table(spark, sf, "embeddings")
+    near = sim.dense_neighbours(v, "vec_id", "embedding", 50)
+    return sel.mmr(near.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id").select("query_id", "doc_id", "score", "vec"), 20, 0.6, 12)
+
+
+@query("cluster_routing", None)
+def cluster_routing(spark, sf):
+    """Every twentieth vector routed to its clusters (the labels), with a backstop."""
+    v = table(spark, sf, "embeddings")
+    p = sim.dense_pairs(v, "vec_id", "embedding")
+    near = p.select(F.col("a").alias("query_id"), F.col("b").alias("doc_id"), "score").union(p.select("b", "a", "score")).where("query_id % 20 = 0")
+    unit = cluster.coordinates(v.where("vec_id % 20 = 0"), "vec_id", "embedding", "label").select(F.col("id").alias("query_id"), "dim", "x")
+    norm = unit.groupBy("query_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    c = cluster.centroids(v, "vec_id", "embedding", "label").withColumnRenamed("label", "cluster")
+    sims = unit.join(c, "dim").groupBy("query_id", "cluster").agg(F.sum(F.col("x") * F.col("c")).alias("s")).join(norm, "query_id").select("query_id", "cluster", (F.col("s") / F.col("n")).alias("centroid_sim"))
+    labels = v.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"))
+    return r.route_clusters(near, labels, sims, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")))
+
+
 @query("correlation_sort", None)
 def correlation_sort(spark, sf):
     """Greedy decorrelated order inside each label."""

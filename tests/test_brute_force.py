@@ -343,6 +343,45 @@ def test_mmr(spark, vectors, cosines):
             chosen.append(got[q][place])
 
 
+@covers("mmr_walk", "cluster_routing")
+def test_walks_and_routes(spark, vectors, cosines):
+    ids, m, labels = vectors
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    at = {i: k for k, i in enumerate(ids)}
+    ranked = lambda q, pool: sorted((i for i in pool if i != q), key=lambda i: (-cosines[at[q], at[i]], i))
+
+    def select(q, pool, k, lam, trail):
+        chosen = []
+        while len(chosen) < min(k, len(pool)):
+            worth = lambda i: lam * cosines[at[q], at[i]] - (1 - lam) * max((u[at[i]] @ u[at[c]] for c in chosen[-trail:]), default=0)
+            chosen.append(max((i for i in pool if i not in chosen), key=lambda i: (round(worth(i), 12), -pool.index(i))))
+        return chosen
+
+    walks = defaultdict(dict)
+    for r in rows(spark, "mmr_walk"):
+        walks[r["query_id"]][r["place"]] = r["doc_id"]
+    for q in ids[::50]:
+        assert [walks[q][k] for k in range(1, 21)] == select(q, ranked(q, ids)[:50], 20, 0.6, 12)
+    means = {g: u_g / np.linalg.norm(u_g) for g in set(labels) for u_g in [m[[k for k, x in enumerate(labels) if x == g]].mean(axis=0)]}
+    want = {}
+    for q in ids:
+        if q % 20:
+            continue
+        mass = Counter()
+        for i in ranked(q, ids)[:10]:
+            mass[labels[at[i]]] += max(cosines[at[q], at[i]], 0)
+        worth = {g: round(0.7 * float(u[at[q]] @ means[g]) + 0.3 * w, 9) for g, w in mass.items()}
+        best = sorted(worth, key=lambda g: (-worth[g], g))[:3]
+        positive, rest = sum(max(worth[g], 0) for g in best), 12 - len(best)
+        for g in best:
+            budget = max(1, 1 + round(max(worth[g], 0) / positive * rest)) if positive > 0 and rest > 0 else 1
+            pool = ranked(q, [i for i in ids if labels[at[i]] == g])[:20]
+            want.update({(q, i): g for i in select(q, pool, budget, 0.7, 99)})
+        for i in ranked(q, ids)[:3]:
+            want.setdefault((q, i), None)
+    assert {(r["query_id"], r["doc_id"]): r["cluster"] for r in rows(spark, "cluster_routing")} == want
+
+
 @covers("correlation_sort")
 def test_correlation_sort(spark, vectors):
     ids, m, labels = vectors
