@@ -61,7 +61,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
 
 def query_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(doc_id, len, term, tf)`` of the given terms, and for each document one row with a null term: one pass over the tokens."""
-    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([(None,)], "term string")).withColumnRenamed("term", "_t")
+    # a range's size is known to the planner, so few terms are broadcast and many are not
+    wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit(None).cast("string"))).withColumnRenamed("term", "_t")
     each = docs.select("doc_id", F.size("tokens").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
     return materialize(each.join(wanted, each["term"].eqNullSafe(wanted["_t"]), "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
 
