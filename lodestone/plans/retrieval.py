@@ -141,7 +141,7 @@ k AS (SELECT query_id AS doc_id, doc_id AS other, score FROM (SELECT *, row_numb
 x0 AS (SELECT query_id, other AS doc_id, round(sum(s.score * k.score), 9) AS score FROM s JOIN k ON s.doc_id = k.doc_id GROUP BY 1, 2),
 x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x0) WHERE rank <= 144),
 pool AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM s UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM x) GROUP BY 1, 2),
-u AS (SELECT DISTINCT query_id, doc_id // 10 AS unit FROM pool),
+u AS (SELECT DISTINCT query_id, doc_id // 10 AS unit FROM pool WHERE doc_id IN (SELECT doc_id FROM documents)),
 e AS (SELECT query_id, doc_id // 10 AS unit, max(score) AS late FROM two WHERE query_id IN (SELECT query_id FROM q) GROUP BY 1, 2),
 z AS (SELECT u.query_id, u.unit AS doc_id, late AS score FROM u JOIN e ON u.query_id = e.query_id AND u.unit = e.unit)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM z) WHERE rank <= 10""",
