@@ -13,7 +13,8 @@ mark, and reading back is exact. Everything is DataFrame functions.
 Defined results: a null text is empty, a null role is the empty role, a null ``seq`` sorts first;
 events that tie in ``seq`` fold in the order of kind, role and text; turns that tie in ``turn`` come in the
 order of the MD5 of their role, then of the SHA-256 of their text; a repeated event counts again;
-an empty log gives no rows; further columns of the log are ignored; null ``conv_id`` is a conversation.
+an empty log gives no rows; further columns of the log are ignored; null ``conv_id`` is a conversation;
+bytes of a role or text that are no UTF-8 become U+FFFD, so that the mask's counts hold for ``formatted``.
 """
 
 from __future__ import annotations
@@ -70,16 +71,18 @@ def render(messages: DataFrame) -> DataFrame:
     ``loss_mask`` has one run-length triple per turn, in characters of ``formatted``: header (masked),
     text under the loss (assistant turns; else 0), rest (masked).
     """
-    turn = F.struct("seq", "msg", "role", "text")
+    turn = F.struct("seq", "msg", F.make_valid_utf8("role").alias("role"), F.make_valid_utf8("text").alias("text"))
     convs = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     head = lambda t: F.concat(F.lit("<turn:"), escape_role(t.role), F.lit(">"))
-    under = lambda t: F.when(t.role == "assistant", F.length(escape(t.text))).otherwise(F.lit(0))
-    return convs.select(
+    piece = lambda t: F.struct(head(t).alias("head"), escape(t.text).alias("said"), (t.role == "assistant").alias("under"))
+    pieces = convs.select("conv_id", F.transform("turns", piece).alias("pieces"))
+    under = lambda p: F.when(p.under, F.length(p.said)).otherwise(F.lit(0))
+    return pieces.select(
         "conv_id",
-        F.array_join(F.transform("turns", lambda t: F.concat(head(t), escape(t.text), F.lit(END))), "").alias("formatted"),
+        F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.said, F.lit(END))), "").alias("formatted"),
         F.transform(
-            "turns",
-            lambda t: F.struct(F.length(head(t)).alias("skip"), under(t).alias("take"), (F.length(escape(t.text)) - under(t) + len(END)).alias("tail")),
+            "pieces",
+            lambda p: F.struct(F.length(p.head).alias("skip"), under(p).alias("take"), (F.length(p.said) - under(p) + len(END)).alias("tail")),
         ).alias("loss_mask"),
     )
 
@@ -92,10 +95,13 @@ def format_chats(events: DataFrame) -> DataFrame:
     return render(fold_messages(events.repartition("conv_id")))
 
 
-def read_turns(formatted: Column) -> Column:
-    """Reads ``formatted`` back as ``array<struct<role, text>>``."""
-    parts = F.split(formatted, "</turn>\n", -1)
-    parts = F.slice(parts, 1, F.size(parts) - 1)
+def split_turns(formatted: Column) -> Column:
+    """The turns of ``formatted``, each without its end mark."""
+    parts = F.split(formatted, END, -1)
+    return F.slice(parts, 1, F.size(parts) - 1)
+
+
+def read_parts(parts: Column) -> Column:
     return F.transform(
         parts,
         lambda p: F.struct(
@@ -105,16 +111,34 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
+def read_turns(formatted: Column) -> Column:
+    """Reads ``formatted`` back as ``array<struct<role, text>>``."""
+    return read_parts(split_turns(formatted))
+
+
+def read_loss(parts: Column, loss_mask: Column) -> Column:
+    """Reads the text under ``loss_mask``, unescaped, from the turns of ``split_turns``.
+
+    A triple of the mask spans one turn, so it is applied within it: in linear time, which positions in
+    all of ``formatted`` are not. A mask that doesn't cover ``formatted`` turn by turn is an error.
+    """
+    fits = lambda p, m: F.length(p) + len(END) == m.skip + m.take + m.tail
+    run = lambda p, m: F.substr(F.concat(p, F.lit(END)), m.skip + 1, m.take)
+    wrong = F.raise_error(F.lit("loss_mask does not cover formatted"))
+    runs = F.zip_with(parts, loss_mask, lambda p, m: F.when(fits(p, m), run(p, m)).otherwise(wrong))
+    return unescape(F.array_join(runs, ""))
+
+
 def chat_digest(chats: DataFrame) -> DataFrame:
-    """Counts and digests of the turns and of the text under the loss, read back from ``formatted``."""
-    read = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"))
+    """Counts and digests of the turns, read back from ``formatted``, and of its text under ``loss_mask``."""
+    parts = chats.select("conv_id", "formatted", "loss_mask", split_turns(F.col("formatted")).alias("parts"))
+    read = parts.select("conv_id", "formatted", read_parts(F.col("parts")).alias("turns"), read_loss(F.col("parts"), F.col("loss_mask")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t.role == "assistant"), lambda t: t.text), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )

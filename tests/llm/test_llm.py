@@ -933,3 +933,30 @@ def test_chat_repeated_rows(spark):
     t = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (None, 0, None, None)], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r["n_turns"] for r in chat.chat_digest(chat.format_chats(chat.events_from_turns(t))).collect()}
     assert got == {1: 2, None: 1}
+
+
+def test_chat_digest_reads_the_mask(spark):
+    t = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a<\\b"), (1, 2, "assistant", None)], "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(chat.events_from_turns(t))
+
+    def loss(mask):
+        got = chat.chat_digest(chats.withColumn("loss_mask", F.expr(mask))).first()
+        return got["loss_chars"], got["loss_sha256"]
+
+    sha = lambda text: (len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert loss("loss_mask") == sha("a<\\b")
+    assert loss("transform(loss_mask, m -> named_struct('skip', m.skip, 'take', 0, 'tail', m.take + m.tail))") == sha("")
+    assert loss("transform(loss_mask, m -> named_struct('skip', 0, 'take', m.skip + m.take + m.tail, 'tail', 0))") == sha(
+        "<turn:user>q</turn>\n<turn:assistant>a<\\b</turn>\n<turn:assistant></turn>\n"
+    )
+    for wrong in ("slice(loss_mask, 1, 2)", "transform(loss_mask, m -> named_struct('skip', m.skip, 'take', m.take, 'tail', m.tail - 1))"):
+        with pytest.raises(Exception, match="does not cover"):
+            loss(wrong)
+
+
+def test_chat_mask_of_malformed_text(spark):
+    t = spark.createDataFrame([(1, 0, "assistant", b"\xf0\x9f<b"), (1, 1, "assistant", b"x\xe4")], "conv_id long, turn long, role string, text binary")
+    chats = chat.format_chats(chat.events_from_turns(t.withColumn("text", F.col("text").cast("string"))))
+    got = chats.join(chat.chat_digest(chats), "conv_id").first()
+    assert sum(sum(m) for m in got["loss_mask"]) == len(got["formatted"]) == got["formatted_chars"]
+    assert got["loss_sha256"] == hashlib.sha256("\ufffd<bx\ufffd".encode()).hexdigest()
