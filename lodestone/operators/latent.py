@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scoring import normal_cdf
+from ..session import materialize
 
 
 def svd_projection(features: DataFrame, key: str, feature: str, value: str, dims: int = 16) -> DataFrame:
@@ -42,26 +43,30 @@ def collinearity_verdict(mean: float) -> str:
     return "redundant" if mean > 0.70 else "complementary" if mean < 0.40 else "partial"
 
 
-def significance_threshold(pairs: DataFrame, score: str = "score", alpha: float = 0.05, method: str = "bonferroni") -> DataFrame:
+def significance_threshold(counts: DataFrame, score: str = "score", alpha: float = 0.05, method: str = "bonferroni") -> DataFrame:
     """One row ``(tau, n_significant)``: the least score that is significant against all scores' mean and deviation.
 
-    Without a significant score the 85th percentile stands in.
+    ``counts`` has each score once, with the number ``n`` of pairs that have it. Without a significant score the 85th
+    percentile stands in.
     """
-    s = pairs.agg(F.avg(score).alias("mu"), F.stddev_pop(score).alias("sd"), F.count(F.lit(1)).alias("n"), F.percentile(score, 0.85).alias("p85"))
-    z = pairs.select(F.col(score).alias("x")).crossJoin(F.broadcast(s))  # one row
-    p = 1 - normal_cdf((F.col("x") - F.col("mu")) / F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1e300))
-    t = z.withColumn("p", p)
+    from pyspark.sql import Window
+
+    x = F.col(score)
+    c = materialize(counts.select(x.alias("x"), F.col("n").alias("c")), "scores")
+    mean = c.agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mu"), F.sum("c").alias("n"))
+    gap = F.col("x") - F.col("mu")
+    s = c.crossJoin(F.broadcast(mean)).groupBy("mu", "n").agg(F.sqrt(F.sum(gap * gap * F.col("c")) / F.sum("c")).alias("sd"))  # one row
+    p85 = c.agg(F.percentile("x", 0.85, F.col("c")).alias("p85"))
+    t = c.crossJoin(F.broadcast(s)).withColumn("p", 1 - normal_cdf(gap / F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1e300)))  # one row
     if method == "bonferroni":
         hit = t.where(F.col("p") * F.col("n") <= alpha)
-    else:  # Benjamini-Hochberg: the greatest p with p <= alpha * rank / n; ranks from counts per distinct p
-        from pyspark.sql import Window
-
-        per = t.where(F.col("p") <= alpha).groupBy("p", "n").agg(F.count(F.lit(1)).alias("c"))
+    else:  # Benjamini-Hochberg: the greatest p with p <= alpha * rank / n; a row per distinct p is ranked
+        per = t.where(F.col("p") <= alpha).groupBy("p", "n").agg(F.sum("c").alias("c"))
         ranked = per.withColumn("r", F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
         cut = ranked.where(F.col("p") <= alpha * F.col("r") / F.col("n")).agg(F.max("p").alias("cut"))
         hit = t.crossJoin(F.broadcast(cut)).where("p <= cut")  # one row
-    got = hit.agg(F.min("x").alias("least"), F.count(F.lit(1)).alias("n_significant"))
-    return got.crossJoin(F.broadcast(s)).select(F.round(F.coalesce("least", "p85"), 6).alias("tau"), "n_significant")
+    got = hit.agg(F.min("x").alias("least"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_significant"))
+    return got.crossJoin(F.broadcast(p85)).select(F.round(F.coalesce("least", "p85"), 6).alias("tau"), "n_significant")  # one row
 
 
 def correlation_p_value(r: float, n: int) -> float:
