@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import plans
-from lodestone.operators import strips
+from lodestone.operators import retrieval, similarity, strips
 
 
 def records(spark, run) -> int:
@@ -60,3 +60,12 @@ def test_folds(spark):
     assert sum(r["n"] for r in strips.score_counts(v).collect()) == 15
     with pytest.raises(Exception, match="different lengths"):
         strips.pairs(strips.vectors_of(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>"), "id", "v")).collect()
+
+
+def test_affinity_keeps_signs(spark):
+    """As in SQL, a cosine that rounds to nothing from below is -0.0 (arrays are compared bit by bit); missing pairs are 0."""
+    d = spark.createDataFrame([(0, [1.0, 0.0]), (10, [-1e-8, 1.0]), (20, [1.0, 0.0])], "vec_id long, v array<double>")
+    rows = retrieval.affinity_rows(similarity.dense_pairs(d, "vec_id", "v"), d.select(F.col("vec_id").alias("id"))).collect()
+    assert {r["id"]: [str(x) for x in r["affinity"]] for r in rows} == {0: ["1.0", "-0.0", "1.0"], 10: ["-0.0", "1.0", "-0.0"], 20: ["1.0", "-0.0", "1.0"]}
+    few = retrieval.affinity_rows(spark.createDataFrame([(0, 10, 0.5)], "a long, b long, score double"), d.select(F.col("vec_id").alias("id"))).collect()
+    assert {r["id"]: r["affinity"] for r in few} == {0: [1.0, 0.5, 0.0], 10: [0.5, 1.0, 0.0], 20: [0.0, 0.0, 1.0]}
