@@ -19,7 +19,8 @@ def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: int =
 
 
 def even_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return weighted_sample(df, key, F.lit(1.0), n, seed)
+    """n rows without replacement, by a key that is unique: only keys are ranked, each part of the input sends n of them."""
+    return df.join(F.broadcast(weighted_sample(df.select(key), key, F.lit(1.0), n, seed)), key, "left_semi")  # n keys
 
 
 def largest_remainder_quotas(sizes: DataFrame, size: str, total: int, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import plans
-from lodestone.operators import retrieval, similarity, strips
+from lodestone.operators import retrieval, similarity, sparse, strips
 
 
 def records(spark, run) -> int:
@@ -69,3 +69,30 @@ def test_affinity_keeps_signs(spark):
     assert {r["id"]: [str(x) for x in r["affinity"]] for r in rows} == {0: ["1.0", "-0.0", "1.0"], 10: ["-0.0", "1.0", "-0.0"], 20: ["1.0", "-0.0", "1.0"]}
     few = retrieval.affinity_rows(spark.createDataFrame([(0, 10, 0.5)], "a long, b long, score double"), d.select(F.col("vec_id").alias("id"))).collect()
     assert {r["id"]: r["affinity"] for r in few} == {0: [1.0, 0.5, 0.0], 10: [0.5, 1.0, 0.0], 20: [0.0, 0.0, 1.0]}
+
+
+@pytest.mark.parametrize("name", ["rrf_hybrid_top10", "cascade_top10"])
+def test_hybrid_records(spark, tmp_path, name):
+    """Queries grow with the documents, yet a (query, document) pair is never a row."""
+    counts = []
+    for n in (600, 2400):
+        g = np.random.default_rng(3)
+        words = np.array([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)])
+        spark.createDataFrame([(i, " ".join(g.choice(words, 30))) for i in range(n)], "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        spark.createDataFrame([(i, g.normal(size=8).tolist()) for i in range(n)], "vec_id long, embedding array<float>").coalesce(2).write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        counts.append(records(spark, lambda n=n: plans.QUERIES[name](spark, f"{tmp_path}/{n}").agg(F.count(F.lit(1))).collect()))
+    assert counts[1] <= 8 * counts[0], counts  # four times the rows; their pairs are sixteen times as many
+
+
+def test_bm25_best(spark):
+    """As ``bm25`` and a ranking; null and empty texts; a pool; expansions."""
+    d = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, []), (4, None), (5, ["c", "b", "d"]), (6, ["a", "b", "a"])], "doc_id long, tokens array<string>")
+    q = spark.createDataFrame([(1, ["a", "b", "b"]), (5, ["c", "zz"]), (9, []), (8, ["zz"])], "query_id long, tokens array<string>")
+    full = d.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    pool = full.where("doc_id IN (2, 5, 6)")
+    rows = lambda t: {tuple(r) for r in t.select("query_id", "doc_id", "score", "rank").collect()}
+    assert rows(sparse.bm25_best(d, q, 3)) == rows(retrieval.top_k(retrieval.bm25(full, q), 3)) != set()
+    assert rows(sparse.bm25_best(full, q, 2, pool=pool)) == rows(retrieval.top_k(retrieval.bm25(full, q, pool=pool), 2))
+    assert rows(sparse.bm25_best(full, q, 2, apart=True)) == rows(retrieval.top_k(retrieval.bm25(full, q).where("query_id <> doc_id"), 2))
+    each = q.select("query_id", F.explode(F.array_distinct("tokens")).alias("t")).select("query_id", F.array("t").alias("tokens"))
+    assert rows(sparse.bm25_best(full, q, 3, expansions=True)) == rows(retrieval.top_k(retrieval.expanded_bm25(full, each), 3))
