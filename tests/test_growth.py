@@ -96,3 +96,18 @@ def test_bm25_best(spark):
     assert rows(sparse.bm25_best(full, q, 2, apart=True)) == rows(retrieval.top_k(retrieval.bm25(full, q).where("query_id <> doc_id"), 2))
     each = q.select("query_id", F.explode(F.array_distinct("tokens")).alias("t")).select("query_id", F.array("t").alias("tokens"))
     assert rows(sparse.bm25_best(full, q, 3, expansions=True)) == rows(retrieval.top_k(retrieval.expanded_bm25(full, each), 3))
+
+
+def test_softmin(spark, sizes):
+    """Weights of all others by the exact median distance, odd and even in number; records grow with the vectors."""
+    for n in (6, 7):
+        m = np.random.default_rng(n).normal(size=(n, 4))
+        m[1] = m[0]
+        d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+        u = m / np.linalg.norm(m, axis=1, keepdims=True)
+        gap = 1 - np.round(u @ u.T, 6)
+        t = [np.median(np.delete(gap[i], i)) for i in range(n)]
+        got = {(r["query_id"], r["doc_id"]): r["weight"] for r in strips.softmin(d, "id", "v").collect()}
+        assert got == {(i, j): pytest.approx(np.exp(-gap[i, j] / t[i]), abs=2e-6) for i in range(n) for j in range(n) if i != j}
+    small, large = (records(spark, lambda at=at: plans.QUERIES["softmin_weights"](spark, at).agg(F.count(F.lit(1))).collect()) for at in sizes)
+    assert large <= 5 * small, (small, large)
